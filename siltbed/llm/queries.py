@@ -11,10 +11,11 @@ from siltbed.llm import quality_rules
 from siltbed.llm.decontaminate import contaminated_passages
 from siltbed.llm.token_counts import token_counts
 from siltbed.llm.toxicity import toxic_documents
+from siltbed.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
