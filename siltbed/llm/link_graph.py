@@ -90,10 +90,11 @@ def sql(trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = 0.8
 
     host = "nullif(regexp_extract(lower(trim({0})), '" + _HOST + "', 1), '')"
     href = _HREF.replace("'", "''")
+    target = "case when starts_with(x, '//') then 'http:' || x else x end"
     parts = [
         f"own as (select page_id, url, {host.format('url')} as host from pages)",
         f"links as (select url, {host.format('url')} as src, unnest(regexp_extract_all(html, '{href}', 1)) as x from pages)",
-        f"edges as (select src, dst, count(distinct url)::double as weight from (select url, src, {host.format('case when starts_with(x, ''//'') then ''http:'' || x else x end').replace(chr(39) * 2 + '//' + chr(39) * 2, chr(39) + '//' + chr(39)).replace(chr(39) * 2 + 'http:' + chr(39) * 2, chr(39) + 'http:' + chr(39))} as dst from links) where src is not null and dst is not null and src <> dst group by src, dst)",
+        f"edges as (select src, dst, count(distinct url)::double as weight from (select url, src, {host.format(target)} as dst from links) where src is not null and dst is not null and src <> dst group by src, dst)",
         f"hosts as (select host, {cover(trusted)} as good, {cover(blocked)} as bad from (select host from own where host is not null union select dst from edges))",
     ]
     for name, seed, a, b in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):

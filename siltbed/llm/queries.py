@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltbed.llm import curriculum as mixing
-from siltbed.llm import quality_rules
+from siltbed.llm import link_graph, quality_rules, warc_zip
+from siltbed.llm.classifier import scored
 from siltbed.llm.decontaminate import contaminated_passages
+from siltbed.llm.ngram_join import near_copies
+from siltbed.llm.suffix_array import repeated_passages
 from siltbed.llm.token_counts import token_counts
 from siltbed.llm.toxicity import toxic_documents
 from siltbed.session import ship
@@ -26,10 +29,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +49,36 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_toxicity, op6_source_mixing, op7_decontamination)}
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op6_source_mixing": mixing.SQL}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+_ENDS = ("com", "net", "org")
+TRUSTED = tuple(f"{name}.example.{end}" for name in ("tionsh", "tionble", "tiontion", "ththth") for end in _ENDS)
+BLOCKED = tuple(f"{name}.example.{end}" for name in ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets") for end in _ENDS)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judged_pages(_table(spark, sf_dir, "pages"), TRUSTED, BLOCKED)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_token_counts,
+        op3_quality_classifier,
+        op4_toxicity,
+        op5_warc_zip,
+        op6_source_mixing,
+        op7_decontamination,
+        op8_ngram_jaccard_join,
+        op9_suffix_array_dedup,
+        op10_url_filters,
+    )
+}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op5_warc_zip": warc_zip.SQL, "op6_source_mixing": mixing.SQL, "op10_url_filters": link_graph.sql(TRUSTED, BLOCKED)}
