@@ -36,7 +36,7 @@ from siltbed.llm.arrow import batch_of, pack, take_ids, texts_of, unpack
 from siltbed.llm.scratch import Scratch
 from siltbed.llm.text import chunks, gram_hashes, winnow, words
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 BROADCAST_BYTES = 48 << 20
 _WORD_BITS = np.uint64((1 << 40) - 1)
 _END = np.uint64(1 << 63)
@@ -132,10 +132,13 @@ def _split(keys: list[np.ndarray], splitters: list[tuple[int, ...]]) -> np.ndarr
 
 
 class Sorter:
-    """Range-partitioned sorts of packed keys of blocks; the latest result is a table in the shared folder."""
+    """Range-partitioned sorts of packed keys of blocks; the latest result is a table in the shared folder.
+
+    A part is sorted in memory, so there are twice as many as the session has for its own operators.
+    """
 
     def __init__(self, scratch: Scratch, parts: int):
-        self.scratch, self.parts, self.n = scratch, max(1, parts), 0
+        self.scratch, self.parts, self.n = scratch, max(1, 2 * parts), 0
 
     def splitters(self, blocks: DataFrame, keys_of, lead: int) -> list[tuple[int, ...]]:
         """Cuts from a bounded sample of the keys, as any range partitioning takes; they balance, and decide nothing."""
