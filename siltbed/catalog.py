@@ -78,7 +78,7 @@ def sec_by_severity(spark, sf_dir):
     return secrets.by_severity(sec_findings(spark, sf_dir))
 
 
-@query(_WITH + "select severity, type, count(*) as findings from raw group by rollup(severity, type)")
+@query(_WITH + "select severity, type, count(*) as findings from raw group by rollup(severity, type) having count(*) > 0")
 def sec_rollup(spark, sf_dir):
     return secrets.rollup(sec_findings(spark, sf_dir))
 
@@ -253,29 +253,32 @@ SNIPPET = "The of, and to.\nIt is (the) = of;\nwith the by"
 _TOK = quote(r"[a-z_][a-z0-9_]*|[\{\}()\[\];,=<>!+\-*/&|^%]")
 
 
-def _grams(x: str) -> str:
-    t = f"regexp_extract_all({x}, {_TOK})"
-    return f"list_distinct(list_concat(list_concat({t}, list_transform(range(1, greatest(len({t}), 1)), lambda i: array_to_string({t}[i:i + 1], ' '))), list_transform(range(1, greatest(len({t}) - 1, 1)), lambda i: array_to_string({t}[i:i + 2], ' '))))"
+def _grams(t: str) -> str:
+    """Distinct 1- to 3-grams of a column of tokens."""
+    two = f"list_transform(range(1, greatest(len({t}), 1)), lambda i: concat({t}[i], ' ', {t}[i + 1]))"
+    three = f"list_transform(range(1, greatest(len({t}) - 1, 1)), lambda i: concat({t}[i], ' ', {t}[i + 1], ' ', {t}[i + 2]))"
+    return f"list_distinct(list_concat(list_concat({t}, {two}), {three}))"
 
 
 def _norm(x: str) -> str:
     return f"lower(array_to_string(list_filter(list_transform({x}, lambda y: {squeeze_sql('y')}), lambda y: y <> '' and not starts_with(y, '//') and not starts_with(y, '#') and not starts_with(y, '*')), ' '))"
 
 
-_SIM = f"""with q as (select {_grams('q0')} as want from (select {_norm(f"string_split({quote(SNIPPET)}, chr(10))")} as q0)),
-s0 as (select file, string_split(text, chr(10)) as ls from {_DOCS} where text is not null),
-s1 as (select file, ls, unnest(range(1, len(ls) - 1)) as s from s0 where len(ls) >= 3),
-s2 as (select file, s, ls[s] as first, {_norm('ls[s:s + 2]')} as c from s1),
-s3 as (select file, s, first, {_grams('c')} as grams, want from s2, q),
-s4 as (select file, s, first, case when len(grams) = 0 or len(want) = 0 then 0.0::double else len(list_intersect(grams, want)) * 100.0::double / (len(grams) + len(want) - len(list_intersect(grams, want))) end as score from s3),
-best as (select file, list_sort(list({{'o': -score, 's': s::bigint, 'e': (s + 2)::bigint, 'sim': round(score)::int, 'p': case when length({strip_sql('first')}) > 80 then concat(substr({strip_sql('first')}, 1, 77), '...') else {strip_sql('first')} end}})) as found from s4 where score >= 10 group by file),
+_SIM = f"""with q as materialized (select {_grams('t')} as want from (select regexp_extract_all({_norm(f"string_split({quote(SNIPPET)}, chr(10))")}, {_TOK}) as t)),
+s0 as (select file, string_split(text, chr(10)) as ls, list_transform(list_transform(string_split(text, chr(10)), lambda y: {squeeze_sql('y')}), lambda y: case when starts_with(y, '//') or starts_with(y, '#') or starts_with(y, '*') then '' else lower(y) end) as clean from {_DOCS} where text is not null),
+s1 as (select file, ls, clean, unnest(range(1, len(ls) - 1)) as s from s0 where len(ls) >= 3),
+s2 as materialized (select file, s, ls[s] as first, regexp_extract_all(array_to_string(list_filter(clean[s:s + 2], lambda y: y <> ''), ' '), {_TOK}) as t from s1),
+s3 as materialized (select file, s, first, {_grams('t')} as grams from s2),
+s3b as materialized (select file, s, first, len(grams) as n, len(want) as m, len(list_intersect(grams, want)) as both_ from s3, q),
+s4 as (select file, s, first, case when n = 0 or m = 0 then 0.0::double else both_ * 100.0::double / (n + m - both_) end as score from s3b),
+best as (select file, list_sort(list({{'o': -score, 's': s::bigint, 'e': (s + 2)::bigint, 'sim': round(score)::int, 'p': case when length({strip_sql('first')}) > 80 then concat(substr({strip_sql('first')}, 1, 77), '...') else {strip_sql('first')} end}})) as found from s4 where score >= 6 group by file),
 apart as (select file, unnest(list_reduce(list_transform(found, lambda x: [x]), lambda a, x: case when len(list_filter(a, lambda k: not (x[1].e < k.s or x[1].s > k.e))) > 0 then a else list_concat(a, x) end)) as m from best)
 select file, m.s as start_line, m.e as end_line, m.sim as similarity, m.p as preview from apart order by similarity desc, file, start_line limit 200"""
 
 
 @query(_SIM)
 def sim_search(spark, sf_dir):
-    return similarity.similar(docs(spark, sf_dir), SNIPPET, min_similarity=10, top=200)
+    return similarity.similar(docs(spark, sf_dir), SNIPPET, min_similarity=6, top=200)
 
 
 # --- imports -------------------------------------------------------------------------------------------------------
@@ -358,7 +361,7 @@ def ref_magic_numbers(spark, sf_dir):
 
 @query(f"""select file, line, match_ord, value, case when again = 0 then name else concat(name, '_', again) end as const_name,
  concat(case when file like '%.py' then '' else 'const ' end, case when again = 0 then name else concat(name, '_', again) end, ' = ', value) as definition
- from (select *, row_number() over (partition by file, name order by line, match_ord) - 1 as again from (select *, 'TOTAL_PRICE_VALUE' as name, row_number() over (partition by file order by line, match_ord) as nth from {_MAGIC}) where nth <= 10)""")
+ from (select *, row_number() over (partition by file, name order by line, match_ord, value, context) - 1 as again from (select *, 'TOTAL_PRICE_VALUE' as name, row_number() over (partition by file order by line, match_ord, value, context) as nth from {_MAGIC}) where nth <= 10)""")
 def ref_constants(spark, sf_dir):
     return refactor.constant_fixes(magic(spark, sf_dir))
 
@@ -391,7 +394,7 @@ def kn_search(spark, sf_dir):
     return knowledge.search(kn_base(spark, sf_dir), "The").select("id", "type", "title", joined("tags"))
 
 
-@query(f"select type, count(*) as n from {_KN} group by rollup(type)")
+@query(f"select type, count(*) as n from {_KN} group by rollup(type) having count(*) > 0")
 def kn_stats(spark, sf_dir):
     return knowledge.stats(kn_base(spark, sf_dir))
 

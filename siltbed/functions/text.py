@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,16 +66,25 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"[a-z_][a-z0-9_]*|[\{\}()\[\];,=<>!+\-*/&|^%]"), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def gram_set(x: Column) -> Column:
     """Distinct 1-, 2- and 3-grams of the tokens of ``x``."""
-    t = tokens(x)
 
-    def grams(n: int) -> Column:
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda k: F.array_join(F.slice(t, k, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(t: Column) -> Column:
+        def grams(n: int) -> Column:
+            parts = [F.slice(t, F.lit(k + 1), F.greatest(F.size(t) - (n - 1), F.lit(0))) for k in range(n)]
+            joined = F.zip_with(parts[0], parts[1], lambda a, b: F.concat_ws(" ", a, b))
+            return joined if n == 2 else F.zip_with(joined, parts[2], lambda a, b: F.concat_ws(" ", a, b))
+
+        return F.array_distinct(F.concat(t, grams(2), grams(3)))
 
-    return F.array_distinct(F.concat(t, grams(2), grams(3)))
+    return let(tokens(x), of)
 
 
 def jaccard_percent(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both * 100.0 / (F.size(a) + F.size(b) - both))
+    share = let(F.size(F.array_intersect(a, b)), lambda both: both * 100.0 / (F.size(a) + F.size(b) - both))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(share)

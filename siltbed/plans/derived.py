@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (table, SQL over it); FROM {t}
@@ -29,7 +31,7 @@ DERIVED: dict[str, tuple[str, str]] = {
     "feature_events": ("orders", "select o_orderdate as ts, o_orderkey as seq, concat('feature', cast(o_custkey % 300 as varchar(9))) as name, case when o_orderkey % 5 = 0 then 'start' when o_orderkey % 5 = 4 then 'complete' else 'decide' end as action, o_orderpriority as text from {t}"),
     "check_runs": ("orders", "select concat('check', cast(o_orderkey % 30 as varchar(9))) as name, o_orderkey % 7 <> 0 as passed, o_orderkey % 1000 as duration from {t}"),
     "outputs": ("documents", "select concat('run', cast(doc_id as varchar(19))) as name, concat(case when doc_id % 2 = 0 then 'Error: first' else 'warn: x' end, chr(10), text, chr(10), 'build failed ', chr(10), 'Warning later') as output from {t}"),
-    "file_names": ("part", "select concat(case when p_partkey % 6 = 0 then 'node_modules/' when p_partkey % 6 = 1 then 'src/' when p_partkey % 6 = 2 then 'a/b/c/' else '' end, case when p_partkey % 5 = 0 then 'package.json' when p_partkey % 5 = 1 then 'go.mod' when p_partkey % 5 = 2 then 'x.ino' when p_partkey % 5 = 3 then '.env' else concat('f', cast(p_partkey as varchar(19)), '.py') end) as file, case when p_partkey % 10 = 0 then '{{\"react\": 1}}' else '' end as text from {t}"),
+    "file_names": ("part", "select concat(case when p_partkey % 6 = 0 then 'node_modules/' when p_partkey % 6 = 1 then 'src/' when p_partkey % 6 = 2 then 'a/b/c/' else '' end, case when p_partkey % 5 = 0 then 'package.json' when p_partkey % 5 = 1 then 'go.mod' when p_partkey % 5 = 2 then 'x.ino' when p_partkey % 5 = 3 then '.env' else concat('f', cast(p_partkey as varchar(19)), '.py') end) as file, case when p_partkey % 10 = 0 then '{\"react\": 1}' else '' end as text from {t}"),
 }
 
 
@@ -39,12 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, sql = DERIVED[name]
-    return spark.sql(sql.replace("{{", "\x01").replace("}}", "\x02").replace("{ a }", "\x03").replace("{t}", "{src}").replace("\x01", "{{").replace("\x02", "}}").replace("\x03", "{{ a }}"), src=table(spark, sf_dir, source))
+    view = f"derived_{source}_{zlib.crc32(sf_dir.encode()):08x}"
+    table(spark, sf_dir, source).createOrReplaceTempView(view)
+    return spark.sql(sql.replace("{t}", view))
 
 
 def oracle(name: str) -> str:
     source, sql = DERIVED[name]
-    return "(" + sql.replace("{t}", source).replace("{{", "{").replace("}}", "}") + ")"
+    return "(" + sql.replace("{t}", source) + ")"
 
 
 def quote(text: str) -> str:

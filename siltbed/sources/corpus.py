@@ -11,11 +11,11 @@ from siltbed.functions.text import basename, extension
 
 def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(file, text) of all files below ``root``, by paths relative to it; files that vanish or break are skipped."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     base = root.rstrip("/") + "/"
-    return reader.text(root).select(F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path).alias("file"), F.make_valid_utf8("value").alias("text"))
+    return reader.text(root, wholetext=True).select(F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path).alias("file"), F.make_valid_utf8("value").alias("text"))
 
 
 def from_table(df: DataFrame, key: str, text: str = "text", suffix: str = "") -> DataFrame:
