@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.arrow import batch_of, pack, texts_of, unpack
-from siltbed.llm.scratch import Scratch
+from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_sets, words
 
 CHUNK_GRAMS = 2_000_000
+GRID_PAIRS = 50_000
 BROADCAST_BYTES = 32 << 20
 
 _BLOCK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("docs", pa.binary())])
@@ -179,13 +180,15 @@ def near_classes(docs: DataFrame, scratch: Scratch, n: int = 3, threshold: float
     """(class, members, size, shared), one row for each class, and (a, b, jaccard) of near classes, a < b."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = scratch.write(shared_sets(docs, n, threshold, parts), "sets")
-    members = sets.groupBy("class_key").agg(F.min("uid").alias("cls"), F.sort_array(F.collect_set("doc_id")).alias("members"))
-    members = scratch.write(members, "members")
-    classes = sets.join(members.select(F.col("cls").alias("uid")), "uid", "left_semi")
-    groups = classes.groupBy("prefix_key").agg(F.min("uid").alias("grp"), F.collect_list("uid").alias("classes"))
-    groups = scratch.write(groups, "groups")
-    heads = classes.join(groups.select(F.col("grp").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("grp"), "size", "alone", "prefix")
+    sets = shared_sets(docs, n, threshold, parts)
+    fields = ("size", "alone", "prefix", "prefix_key", "grams")
+    classes = sets.groupBy("class_key").agg(F.min("uid").alias("uid"), F.min_by(F.struct(*fields), "uid").alias("s"), F.sort_array(F.collect_set("doc_id")).alias("members"))
+    classes = scratch.write(classes.select("uid", "members", "s.*"), "classes")
+    collect_garbage(spark)
+    groups = scratch.write(classes.groupBy("prefix_key").agg(F.min("uid").alias("grp"), F.collect_list("uid").alias("classes")), "groups")
+    first = groups.select(F.col("grp").alias("uid"))
+    first = F.broadcast(first) if scratch.bytes("groups") < BROADCAST_BYTES else first
+    heads = classes.join(first, "uid", "left_semi").select(F.col("uid").alias("grp"), "size", "alone", "prefix")
     lists = heads.mapInArrow(_explode_prefix, "gram long, place long, grp long, size long")
     a, b = lists.alias("a"), lists.alias("b")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
@@ -195,9 +198,16 @@ def near_classes(docs: DataFrame, scratch: Scratch, n: int = 3, threshold: float
     ga, gb = groups.select(F.col("grp").alias("ga"), F.col("classes").alias("ca")), groups.select(F.col("grp").alias("gb"), F.col("classes").alias("cb"))
     across = pairs.join(ga, "ga").join(gb, "gb").select(F.explode("ca").alias("a"), "cb").select("a", F.explode("cb").alias("b"))
     within = ga.where(F.size("ca") > 1).select(F.explode("ca").alias("a"), "ca").select("a", F.explode("ca").alias("b")).where("a < b")
-    spot = F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")
-    both = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("spot", spot)
-    both = scratch.write(both, "pairs")
+    both = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # the pairs of a cluster are checked in one place, cut into a grid if they are many, so grams travel little
+    near_to = both.groupBy("b").agg(F.min("a").alias("home"))
+    homed = scratch.write(both.join(near_to, "b"), "homed")
+    collect_garbage(spark)
+    grid = homed.groupBy("home").agg(F.ceil(F.sqrt(F.count("*") / F.lit(GRID_PAIRS))).alias("cells"))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
+    spot = F.pmod(F.xxhash64("home", cell("a"), cell("b")), F.lit(4 * parts)).cast("int")
+    both = scratch.write(homed.join(grid, "home").select("a", "b", spot.alias("spot")), "pairs")
+    scratch.drop("homed")
     wanted = both.select(F.col("spot").alias("at"), F.col("a").alias("uid")).union(both.select("spot", "b")).distinct()
     blobs = wanted.join(classes.select("uid", "size", "grams"), "uid").select("at", "uid", "size", "grams")
 
@@ -218,8 +228,8 @@ def near_classes(docs: DataFrame, scratch: Scratch, n: int = 3, threshold: float
 
     found = both.groupBy("spot").cogroup(blobs.groupBy("at")).applyInArrow(verify, "a long, b long, jaccard double")
     found = scratch.write(found, "found")
-    shape = classes.select(F.col("uid").alias("cls"), "size", (F.length("grams") / 8).cast("long").alias("shared"))
-    return members.select("cls", "members").join(shape, "cls"), found
+    collect_garbage(spark)
+    return classes.select(F.col("uid").alias("cls"), "members", "size", (F.length("grams") / 8).cast("long").alias("shared")), found
 
 
 def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
@@ -269,6 +279,6 @@ def without_near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.6) ->
     least = inside.groupBy("label").agg(F.min("id").alias("least"))
     going = inside.join(least, "label").where("id <> least").select(F.col("id").alias("_near_copy")).distinct()
     going = scratch.write(going, "going")
-    scratch.drop("sets", "groups", "pairs")
+    scratch.drop("classes", "groups", "pairs")
     side = F.broadcast(going) if scratch.bytes("going") < BROADCAST_BYTES else going
     return docs.join(side, docs["doc_id"].cast("long") == F.col("_near_copy"), "left_anti")

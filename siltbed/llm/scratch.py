@@ -8,6 +8,7 @@ Tables live under a name of their own for each call and are dropped when a later
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have Spark drop shuffle files that no plan refers to; it does so only as the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
