@@ -12,7 +12,8 @@ of all triples where they tell apart ``min_words`` words. Going back up, places
 ordered by (word, rank of the next place) and merged with the rest by comparing (word, rank) to places 1 mod 3 and (word,
 word, rank) to places 2 mod 3, within ranges of the leading words. At level 0 neighbours in suffix order are compared by
 their first ``min_words`` words: a run of equal ones is a repeated window. The first of a run, in the order of segments,
-stays; the others are copies. All that moves are packed blocks of integers; levels are tables in the shared folder and are
+stays; the others are copies, and every word that a copy covers is one (but where a copy overlaps its own first, as in a
+phrase said over and over, the words of the first stay). All that moves are packed blocks of integers; levels are tables in the shared folder and are
 dropped once used, and the driver's garbage is collected between levels so that old shuffle files go.
 
 Words are lower-cased runs of word characters, told apart by 40 bits of a hash. Defined results: null or empty text and
@@ -23,17 +24,15 @@ that repeats within a document counts, and its first stays; other columns are ig
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.arrow import batch_of, pack, take_ids, texts_of, unpack
-from siltbed.llm.scratch import Scratch
+from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_hashes, winnow, words
 
 BLOCK_WORDS = 250_000
@@ -53,11 +52,6 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kind[f.type]}" for f in schema)
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 # --- arrays of one block -------------------------------------------------------------------------------------------
 
 
@@ -283,7 +277,8 @@ def _merge_order(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def suffix_runs(blocks: DataFrame, scratch: Scratch, min_words: int, parts: int) -> DataFrame:
-    """(bucket, block, at, name): windows of ``min_words`` that have an equal; name is 1 for a run's first, 2 for a copy.
+    """(bucket, block, at, name): windows of ``min_words`` that have an equal; name is 1 for a run's first, 2 for a
+    copy, 3 for a copy that overlaps the first.
 
     ``blocks``: (block, toks, ends). At least one level of recursion is taken.
     """
@@ -307,7 +302,7 @@ def suffix_runs(blocks: DataFrame, scratch: Scratch, min_words: int, parts: int)
             break
         levels.append(scratch.write(_with_names(level.select("block", "ends"), named, offsets, descend, _ddl(_BLOCK)), f"level{len(levels)}"))
         scratch.drop(f"sorted{sorter.n}")
-        _collect_garbage(spark)
+        collect_garbage(spark)
         reach *= 3
 
     ranked_schema = pa.schema([*_BLOCK, ("ranks", pa.binary())])
@@ -325,15 +320,15 @@ def suffix_runs(blocks: DataFrame, scratch: Scratch, min_words: int, parts: int)
         cuts = sorter.splitters(level, _lead, 2)
         windows = None if depth else min_words
         source = _with_names(level, named, offsets, ranked, _ddl(_BLOCK) + ", ranks binary")
-        named = sorter.run(source, cuts, lambda row, w=windows: _merge_keys(row, w), _merge_order, _places if depth else _runs)
+        named = sorter.run(source, cuts, lambda row, w=windows: _merge_keys(row, w), _merge_order, _places if depth else (lambda *args: _runs(*args, min_words)))
         offsets = _offsets(named) if depth else {}
         scratch.drop(f"sorted{before}", f"level{depth + 1}")
-        _collect_garbage(spark)
+        collect_garbage(spark)
     return named
 
 
-def _runs(bucket, block, at, keys, order):
-    """Neighbours in suffix order with equal windows: which is the first, which are copies."""
+def _runs(bucket, block, at, keys, order, min_words):
+    """Neighbours in suffix order with equal windows: the first (1), copies (2), and copies that overlap their first (3)."""
     window = keys[5][order]
     same = (window[1:] == window[:-1]) & (window[1:] != 0)
     on = np.zeros(len(order), bool)
@@ -347,8 +342,9 @@ def _runs(bucket, block, at, keys, order):
     by = np.lexsort((place, blk, run))
     first = np.ones(len(by), bool)
     first[1:] = run[by][1:] != run[by][:-1]
-    kind = np.where(first, 1, 2)
     place, blk = place[by], blk[by]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    kind = np.where(first, 1, np.where((blk == blk[head]) & (place - place[head] < min_words), 3, 2))
     back = np.lexsort((place, blk))
     place, blk, kind = place[back], blk[back], kind[back]
     edges = np.concatenate([[0], np.flatnonzero(blk[1:] != blk[:-1]) + 1, [len(blk)]])
@@ -400,7 +396,7 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
     grams = own.select(*_DOCS).mapInArrow(fingerprints, "gram long, _sa_uid long, place int")
     twice = grams.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
     spots = scratch.write(twice.groupBy("_sa_uid").agg(F.collect_set("place").alias("places")), "spots")
-    _collect_garbage(spark)
+    collect_garbage(spark)
 
     def segments(batches):
         schema = pa.schema([("_sa_uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("toks", pa.binary())])
@@ -449,7 +445,7 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
     table = scratch.write(different.mapInArrow(blocks, _ddl(_BLOCK) + ", keys binary"), "blocks")
     occurs = scratch.write(occurs, "occurs")
     scratch.drop("segments")
-    _collect_garbage(spark)
+    collect_garbage(spark)
     runs = suffix_runs(table.select("block", "toks", "ends"), scratch, min_words, parts)
 
     def judged(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -462,8 +458,9 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
             kind[unpack(r["at"]).astype(np.int64)] = unpack(r["name"])
         for s in np.unique(np.searchsorted(ends, np.flatnonzero(kind), "right")):
             mine = kind[starts[s] : ends[s] - 1]
-            spans = [_runs_of(_cover(np.flatnonzero(mine == v), len(mine), min_words)).ravel().tolist() for v in (1, 2)]
-            out.append((row["keys"][16 * s : 16 * s + 16], *spans))
+            first, copy, lap = (_cover(np.flatnonzero(mine == v), len(mine), min_words) for v in (1, 2, 3))
+            copy |= lap & ~first  # a phrase said over and over keeps one window
+            out.append((row["keys"][16 * s : 16 * s + 16], *(_runs_of(m).ravel().tolist() for m in (first & ~copy, copy))))
         cols = list(zip(*out)) or [[], [], []]
         return pa.Table.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], names=["key", "firsts", "copies"])
 
@@ -484,14 +481,14 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
 
 
 def _masks(n: int, copies: list[int], firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(words of copies that are in no first window, words of first windows)."""
+    """(words of copies, other words of first windows)."""
     out = []
     for spans in (copies, firsts):
         mask = np.zeros(n, bool)
         for s, e in zip(spans[::2], spans[1::2]):
             mask[s:e] = True
         out.append(mask)
-    return out[0] & ~out[1], out[1]
+    return out[0], out[1] & ~out[0]
 
 
 _SPAN = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("is_copy", pa.bool_())])
