@@ -9,11 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to all executors, once for each application; they fetch it from the driver."""
+    """Send the package's sources to all executors, once for each application; they fetch it from the driver.
+
+    Rows here hold whole texts, so a session with Arrow's default of 10,000 rows a batch gets 2,000.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
