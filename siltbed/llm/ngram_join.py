@@ -58,8 +58,11 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kind[f.type]}" for f in schema)
 
 
-def shared_sets(docs: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
-    """Steps 1 and 2: a row for each document with a prefix gram that another document has."""
+def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, parts: int) -> DataFrame:
+    """Steps 1 and 2: a row for each document with a prefix gram that another document has.
+
+    What comes back of the postings is a table, so the files of their shuffle, the largest, can go before the next.
+    """
 
     def blocks(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -154,15 +157,10 @@ def shared_sets(docs: DataFrame, n: int, threshold: float, parts: int) -> DataFr
         columns = list(zip(*out)) or [[] for _ in _SET]
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _SET)], schema=_SET)
 
-    return (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .where("doc_id is not null")
-        .mapInArrow(blocks, _ddl(_BLOCK))
-        .repartitionById(parts, "bucket")
-        .mapInArrow(frequencies, _ddl(_BACK))
-        .groupBy("chunk")
-        .applyInArrow(prefixes, _ddl(_SET))
-    )
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    back = scratch.write(own.mapInArrow(blocks, _ddl(_BLOCK)).repartitionById(parts, "bucket").mapInArrow(frequencies, _ddl(_BACK)), "shared")
+    collect_garbage(docs.sparkSession)
+    return back.groupBy("chunk").applyInArrow(prefixes, _ddl(_SET))
 
 
 def _explode_prefix(batches):
@@ -180,10 +178,11 @@ def near_classes(docs: DataFrame, scratch: Scratch, n: int = 3, threshold: float
     """(class, members, size, shared), one row for each class, and (a, b, jaccard) of near classes, a < b."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = shared_sets(docs, n, threshold, parts)
+    sets = shared_sets(docs, scratch, n, threshold, parts)
     fields = ("size", "alone", "prefix", "prefix_key", "grams")
     classes = sets.groupBy("class_key").agg(F.min("uid").alias("uid"), F.min_by(F.struct(*fields), "uid").alias("s"), F.sort_array(F.collect_set("doc_id")).alias("members"))
     classes = scratch.write(classes.select("uid", "members", "s.*"), "classes")
+    scratch.drop("shared")
     collect_garbage(spark)
     groups = scratch.write(classes.groupBy("prefix_key").agg(F.min("uid").alias("grp"), F.collect_list("uid").alias("classes")), "groups")
     first = groups.select(F.col("grp").alias("uid"))
