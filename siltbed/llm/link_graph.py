@@ -3,9 +3,11 @@
 Links of pages (absolute or protocol-relative ``href`` targets; relative ones stay on their host) make host edges,
 weighted by the number of pages that link. Trust is personalised PageRank from trusted seeds along the edges; distrust is
 personalised PageRank from blocked seeds along the reversed edges, since who links to bad hosts is bad. What a host
-without edges onward holds goes back to the seeds. ``rounds`` power iterations run in Spark over edge and score tables;
-every ``every`` rounds the scores are checkpointed, so plans stay short and lost executors cost little. A host is
-refused if it is a blocked seed, or its distrust reaches ``threshold`` times the uniform share 1 / hosts and exceeds its
+without edges onward holds goes back to the seeds. Power iterations run in Spark over edge and score tables: ``rounds`` of
+them, or with None until the scores are within ``tolerance`` of the solution (the sum of their errors; unless given, a
+millionth of 1 / hosts or 1e-10, whichever is less, so that rounding and verdicts are those of the solution). A round
+brings scores closer by the factor ``damping``, which bounds both the error left by a last change and the rounds needed.
+Every ``every`` rounds the scores are written out, so plans stay short and lost executors cost little. A host is refused if it is a blocked seed, or its distrust reaches ``threshold`` times the uniform share 1 / hosts and exceeds its
 trust; a trusted seed is never refused by score.
 
 A seed names a host or a domain: it covers the host itself and all below it. Only the edges, hosts and scores are
@@ -17,6 +19,8 @@ and nothing is refused. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,27 +49,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.count_distinct("url").cast("double").alias("weight"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, seed: str, src: str, dst: str, damping: float, rounds: int, every: int) -> DataFrame:
+def propagate(scratch: Scratch, hosts: DataFrame, edges: DataFrame, seed: str, src: str, dst: str, damping: float, rounds: int | None, every: int, tolerance: float) -> DataFrame:
     """(host, score): personalised PageRank from the hosts where ``seed`` is true; scores sum to 1, or are all 0."""
     out = edges.groupBy(src).agg(F.sum("weight").alias("out"))
     moves = edges.join(out, src).select(F.col(src).alias("a"), F.col(dst).alias("b"), (F.col("weight") / F.col("out")).alias("share"))
-    moves = moves.checkpoint()
+    moves = scratch.write(moves, f"{seed}-moves")
     seeds = hosts.select("host", F.col(seed).cast("double").alias("s")).crossJoin(F.broadcast(hosts.agg(F.sum(F.col(seed).cast("double")).alias("n"))))
     start = seeds.select("host", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("start"))
-    ends = start.join(moves.select(F.col("a").alias("host")).distinct().withColumn("onward", F.lit(True)), "host", "left").select("host", "start", F.coalesce("onward", F.lit(False)).alias("onward")).checkpoint()
-    score = ends.select("host", "start", "onward", F.col("start").alias("score"))
-    for k in range(rounds):
-        got = moves.join(score.select(F.col("host").alias("a"), "score"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        lost = score.agg(F.coalesce(F.sum(F.when(~F.col("onward"), F.col("score"))), F.lit(0.0)).alias("lost"))
-        score = score.drop("score").join(got, "host", "left").crossJoin(F.broadcast(lost))
-        score = score.select("host", "start", "onward", ((1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("start"))).alias("score"))
-        if (k + 1) % every == 0:
-            score = score.checkpoint()
+    ends = start.join(moves.select(F.col("a").alias("host")).distinct().withColumn("onward", F.lit(True)), "host", "left").select("host", "start", F.coalesce("onward", F.lit(False)).alias("onward"))
+    score = scratch.write(ends.withColumn("score", F.col("start")), f"{seed}-0")
+    last = rounds if rounds is not None else math.ceil(math.log(tolerance / 2) / math.log(damping))  # scores are 2 apart at most at the start
+    done = 0
+    while done < last:
+        ahead = min(every, last - done)
+        at = score
+        for _ in range(ahead):
+            got = moves.join(at.select(F.col("host").alias("a"), "score"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+            lost = at.agg(F.coalesce(F.sum(F.when(~F.col("onward"), F.col("score"))), F.lit(0.0)).alias("lost"))
+            at = at.select("host", "start", "onward", F.col("score").alias("before")).join(got, "host", "left").crossJoin(F.broadcast(lost))
+            at = at.select("host", "start", "onward", "before", ((1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("start"))).alias("score"))
+        score = scratch.write(at, f"{seed}-{done + ahead}")
+        scratch.drop(f"{seed}-{done}")
+        done += ahead
+        if rounds is None and (score.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) * damping / (1 - damping) <= tolerance:
+            break
     return score.select("host", "score")
 
 
-def judged_pages(pages: DataFrame, trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = 0.85, rounds: int = 12, every: int = 4, threshold: float = 1.0) -> DataFrame:
-    """Every page with its host's scores: page_id, url, host, trust, distrust, keep."""
+def judged_pages(pages: DataFrame, trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = 0.85, rounds: int | None = 12, every: int = 4, threshold: float = 1.0, tolerance: float | None = None) -> DataFrame:
+    """Every page with its host's scores: page_id, url, host, trust, distrust, keep.
+
+    The query runs with ``rounds`` None, to the solution; the default of 12 rounds is what :func:`sql` writes out.
+    """
     spark = pages.sparkSession
     shared_dir(spark)
     scratch = Scratch(spark, "links")
@@ -73,8 +88,10 @@ def judged_pages(pages: DataFrame, trusted: tuple[str, ...], blocked: tuple[str,
     edges = scratch.write(host_edges(pages), "edges")
     hosts = own.select("host").where("host is not null").union(edges.select("dst")).distinct()
     hosts = scratch.write(hosts.select("host", covered(F.col("host"), trusted).alias("good"), covered(F.col("host"), blocked).alias("bad")), "hosts")
-    good = propagate(hosts, edges, "good", "src", "dst", damping, rounds, every)
-    bad = propagate(hosts, edges, "bad", "dst", "src", damping, rounds, every)
+    if tolerance is None:
+        tolerance = min(1e-10, 1e-6 / max(hosts.count(), 1))
+    good = propagate(scratch, hosts, edges, "good", "src", "dst", damping, rounds, every, tolerance)
+    bad = propagate(scratch, hosts, edges, "bad", "dst", "src", damping, rounds, every, tolerance)
     total = hosts.agg(F.count("*").alias("hosts"))
     verdict = hosts.join(good.withColumnRenamed("score", "trust"), "host").join(bad.withColumnRenamed("score", "distrust"), "host").crossJoin(F.broadcast(total))
     refuse = F.col("bad") | (~F.col("good") & (F.col("distrust") * F.col("hosts") >= threshold) & (F.col("distrust") > F.col("trust")))

@@ -63,7 +63,7 @@ BLOCKED = tuple(f"{name}.example.{end}" for name in ("ads-track", "spam-farm", "
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_graph.judged_pages(_table(spark, sf_dir, "pages"), TRUSTED, BLOCKED)
+    return link_graph.judged_pages(_table(spark, sf_dir, "pages"), TRUSTED, BLOCKED, rounds=None)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

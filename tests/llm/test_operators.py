@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltbed.llm import classifier, curriculum, decontaminate, link_graph, ngram_join, quality_rules, suffix_array, token_counts, toxicity, warc_zip
+from siltbed.llm.queries import BLOCKED, op10_url_filters
 from siltbed.llm.scratch import Scratch
 from siltbed.llm.text import word_list, words
 
@@ -405,4 +406,23 @@ def test_link_graph_against_power_iteration(spark):
     assert all(x.keep for x in link_graph.judged_pages(d, (), ()).collect())
 
 
+def test_link_graph_runs_to_the_solution(spark, tmp_path):
+    chain, names = 31, sorted(BLOCKED)
+    hosts = [f"c{k:02d}.example" for k in range(chain - 1)] + [names[0]]
+    pages = [(k, f"http://{a}/", f"<a href='http://{b}/'>") for k, (a, b) in enumerate(zip(hosts, hosts[1:]))] + [(chain + k, f"http://n{k}.example/", "") for k in range(1000 - chain)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    n = 1000
+    m = np.zeros((chain, chain))  # distrust moves from a host to the one that links to it, and from the first back to the seed
+    m[np.arange(1, chain), np.arange(chain - 1)] = 1
+    m[0, chain - 1] = 1
+    start = np.eye(chain)[chain - 1]
+    want = np.linalg.solve(np.eye(chain) - 0.85 * m.T, 0.15 * start)
+    got = {r.host: r for r in op10_url_filters(spark, str(tmp_path)).collect()}
+    assert len(got) == n - 1  # the blocked host has no page of its own
+    for k, h in enumerate(hosts[:-1]):
+        assert got[h].distrust == pytest.approx(want[k], abs=2e-9) and got[h].keep == (want[k] * n < 1)
+    assert sum(not r.keep for r in got.values()) == sum(want[:-1] * n >= 1) > 12
+    assert all(r.trust == 0 for r in got.values())
+
+
 assert io
