@@ -4,8 +4,8 @@ A schedule gives each source's weight at knots of training time in [0, 1], linea
 are normalised at each knot. The demand for a source up to time t is the budget times the integral of its weight, a
 piecewise quadratic. Documents of a source stand in an order by a hash of their id; the position of one is the time at
 which demand reaches the tokens before it, the inverse of that quadratic. Demand beyond a source's tokens starts another
-epoch over it, up to ``max_epochs``; documents that demand never reaches have no position and are left out. Without a
-schedule, weights go from the sources' own shares of tokens to shares proportional to their square roots.
+epoch over it, as often as it takes to meet demand; only a given ``max_epochs`` cuts it short, and what a source then lacks
+goes to no other. Documents that demand never reaches have no position and are left out. Without a schedule, weights go from the sources' own shares of tokens to shares proportional to their square roots.
 
 The tokens before a document are a prefix sum in two levels: sums by (source, slice of the hash) are added up over
 slices, then each slice is summed by itself, so that no source, however large, is one task. Positions have even density
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_DOCS = 20_000
+EPOCHS = 4096  # of one row in an array
 
 
 def token_count(text: Column) -> Column:
@@ -62,7 +63,7 @@ def demand(totals: DataFrame, knots: DataFrame, budget: Column) -> DataFrame:
     return rows.groupBy("key", "tokens").agg(F.sort_array(F.collect_list(F.struct("t", "t1", "w0", "w1", "d0", "d1"))).alias("segments"), F.max("d1").alias("wanted"), F.max(budget).alias("budget"))
 
 
-def curriculum(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens: float | None = None, max_epochs: int = 4) -> DataFrame:
+def curriculum(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens: float | None = None, max_epochs: int | None = None) -> DataFrame:
     """The documents in training order, with ``n_tokens``, ``epoch`` (from 0) and ``position`` (from 0 to below 1).
 
     ``schedule``: (source, t, weight); without ``budget_tokens`` the budget is the corpus's tokens.
@@ -90,8 +91,11 @@ def curriculum(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens
     placed = rows.withColumn("_mix_start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     placed = placed.join(offsets, ["_mix_key", "_mix_slice"])
     start = F.col("_mix_before") + F.col("_mix_start")
-    epochs = F.least(F.lit(max_epochs), F.when(F.col("tokens") > 0, F.ceil((F.col("wanted") - start) / F.col("tokens"))).otherwise(0)).cast("int")
-    placed = placed.withColumn("epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0), epochs - 1))))
+    epochs = F.when(F.col("tokens") > 0, F.ceil((F.col("wanted") - start) / F.col("tokens"))).otherwise(0)
+    epochs = (epochs if max_epochs is None else F.least(F.lit(max_epochs), epochs)).cast("int")
+    placed = placed.withColumn("_mix_last", epochs - 1).where("_mix_last >= 0")
+    placed = placed.withColumn("_mix_run", F.explode(F.sequence(F.lit(0), F.floor(F.col("_mix_last") / EPOCHS).cast("int"))))
+    placed = placed.withColumn("epoch", F.explode(F.sequence(F.col("_mix_run") * EPOCHS, F.least(F.col("_mix_last"), F.col("_mix_run") * EPOCHS + EPOCHS - 1))))
     placed = placed.withColumn("_mix_x", (start + F.col("epoch") * F.col("tokens")).cast("double"))
     part = F.element_at(F.filter("segments", lambda s: (F.col("_mix_x") >= s["d0"]) & (F.col("_mix_x") < s["d1"])), 1)
     placed = placed.withColumn("_mix_part", F.coalesce(part, F.element_at("segments", -1)))

@@ -196,6 +196,21 @@ def test_curriculum_follows_its_schedule(spark, docs, empty):
     assert curriculum.curriculum(empty).count() == 0
 
 
+def test_curriculum_meets_the_demand_of_small_sources(spark):
+    texts = [(k, prose(k, 50), f"s{k % 20}") for k in range(400)] + [(400, "two tokens", None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = curriculum.curriculum(d).collect()
+    small = sorted((r.epoch, r.position) for r in got if r.source is None)
+    assert [e for e, _ in small] == list(range(12))  # 0.01 % of the tokens wants 11.7 epochs
+    assert [p for _, p in small] == sorted(p for _, p in small) and small[-1][1] > 0.9
+    assert sum(r.n_tokens for r in got) == pytest.approx(20_002, abs=20 * 50)
+    plan = spark.createDataFrame([(None, 0.0, 1.0), (None, 1.0, 1.0)], "source string, t double, weight double")
+    for budget in (20_000.0, 2.0 * curriculum.EPOCHS):
+        rows = curriculum.curriculum(d, plan, budget_tokens=budget).collect()
+        assert sorted(r.epoch for r in rows) == list(range(int(budget) // 2)) and {r.source for r in rows} == {None}
+    assert max(r.epoch for r in curriculum.curriculum(d, plan, max_epochs=3).collect()) == 2
+
+
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
