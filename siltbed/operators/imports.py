@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.functions import patterns as P
 from siltbed.functions.text import basename, normalize_path
+from siltbed.session import ship
 from siltbed.sources.corpus import language
 
 
@@ -62,12 +66,81 @@ def reverse(found: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("dst").alias("file")).agg(F.sort_array(F.collect_set("src")).alias("imported_by"))
 
 
+def strong_components(onward: dict[str, list[str]]) -> list[list[str]]:
+    """Tarjan's strongly connected components of two nodes or more, without recursion."""
+    seen, low, stack, held, out = {}, {}, [], set(), []
+    for root in onward:
+        if root in seen:
+            continue
+        work = [(root, iter(onward[root]))]
+        seen[root] = low[root] = len(seen)
+        stack.append(root)
+        held.add(root)
+        while work:
+            node, rest = work[-1]
+            for x in rest:
+                if x not in seen:
+                    seen[x] = low[x] = len(seen)
+                    stack.append(x)
+                    held.add(x)
+                    work.append((x, iter(onward.get(x, ()))))
+                    break
+                if x in held:
+                    low[node] = min(low[node], seen[x])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    part = [stack.pop()]
+                    while part[-1] != node:
+                        part.append(stack.pop())
+                    held.difference_update(part)
+                    if len(part) > 1:
+                        out.append(part)
+    return out
+
+
+def long_cycles(pairs: list[tuple[str, str]], max_length: int) -> list[list[str]]:
+    """For each edge that is on cycles, but on none of up to ``max_length`` nodes, a shortest one; each from its least node."""
+    onward = defaultdict(list)
+    for a, b in sorted(pairs):
+        onward[a].append(b)
+    found = set()
+    for part in strong_components(dict(onward)):
+        inside = set(part)
+        importers = defaultdict(set)
+        for a in part:
+            for b in onward[a]:
+                importers[b].add(a)
+        for v in sorted(part):
+            before, queue, wanted = {v: None}, deque([v]), importers[v] & inside - {v}
+            while wanted and queue:
+                node = queue.popleft()
+                for x in onward[node]:
+                    if x in inside and x not in before:
+                        before[x] = node
+                        queue.append(x)
+                        if x in wanted:
+                            wanted.discard(x)
+                            path = [x]
+                            while before[path[-1]] is not None:
+                                path.append(before[path[-1]])
+                            if len(path) > max_length:
+                                k = path.index(min(path))
+                                found.add(tuple(path[k::-1] + path[:k:-1]))
+    return [list(p) for p in sorted(found)]
+
+
 def cycles(pairs: DataFrame, max_length: int = 8) -> DataFrame:
-    """(length, cycle): elementary cycles of up to ``max_length`` files, each once, from its least file.
+    """(length, cycle): all elementary cycles of up to ``max_length`` files, each once, from its least file, and longer
+    ones for what these leave out: of each edge that is only on longer cycles, a shortest one. So every edge on a cycle is
+    in a row, and there are no rows only if there are no cycles.
 
-    A recursive query whose depth is bounded; nodes without an edge in and one out are peeled off first.
+    The former are a recursive query whose depth is bounded; nodes without an edge in and one out are peeled off first. The
+    latter take the remaining edges, names only, in one task: strong components, then a search from each of their nodes.
     """
-    spark = pairs.sparkSession
+    spark = ship(pairs.sparkSession)
     clean = pairs.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).where("src is not null and dst is not null").distinct()
     clean = clean.join(clean.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(clean.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
     query = f"""
@@ -77,7 +150,12 @@ def cycles(pairs: DataFrame, max_length: int = 8) -> DataFrame:
       select w.root, e.dst, concat(w.path, array(w.last)), w.n + 1 from walk w join {{pairs}} e on w.last = e.src
       where w.n < {int(max_length)} and w.last <> w.root and e.dst >= w.root and not array_contains(w.path, w.last))
     select n as length, array_join(path, '>') as cycle from walk where last = root"""
-    return spark.sql(query, pairs=clean)
+
+    def longer(edges: pa.Table) -> pa.Table:
+        found = long_cycles(list(zip(edges["src"].to_pylist(), edges["dst"].to_pylist())), max(int(max_length), 1))
+        return pa.table({"length": pa.array([len(p) for p in found], pa.int32()), "cycle": pa.array([">".join(p) for p in found], pa.string())})
+
+    return spark.sql(query, pairs=clean).unionByName(clean.groupBy().applyInArrow(longer, "length int, cycle string"))
 
 
 def classify(found: DataFrame, corpus: DataFrame) -> DataFrame:

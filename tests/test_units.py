@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltbed.functions import text
-from siltbed.operators import knowledge, review, state
+from siltbed.operators import imports, knowledge, review, state
 from siltbed.sources import corpus
 from siltbed.streaming import streams
 
@@ -104,3 +105,30 @@ def test_entry_module_works(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def ring(name, n):
+    return [(f"{name}{k:02d}", f"{name}{(k + 1) % n:02d}") for k in range(n)]
+
+
+def test_long_cycles_are_not_lost(spark):
+    pairs = ring("a", 12) + ring("b", 9) + ring("c", 3) + ring("d", 8) + [("e", "e"), ("tail", "a03"), ("b01", "end"), ("c00", "d00")]
+    pairs += ring("f", 11) + [("f02", "f01")]  # a short cycle and a long one in one component
+    pairs += [("g", "h"), ("h", "i"), (None, "g")]
+    got = imports.cycles(spark.createDataFrame(pairs, "src string, dst string")).collect()
+    want = [[a for a, _ in ring(x, n)] for x, n in (("a", 12), ("b", 9), ("c", 3), ("d", 8), ("f", 11))] + [["e"], ["f01", "f02"]]
+    assert sorted((r.length, r.cycle) for r in got) == sorted((len(p), ">".join(p)) for p in want)
+
+
+def test_long_cycles_cover_every_edge_of_a_cycle():
+    r = random.Random(5)
+    for _ in range(300):
+        n = r.randrange(2, 9)
+        pairs = {(str(r.randrange(n)), str(r.randrange(n))) for _ in range(r.randrange(1, 2 * n))}
+        reach = {(a, b) for a, b in pairs}
+        for k in map(str, range(n)):
+            reach |= {(a, b) for a in map(str, range(n)) for b in map(str, range(n)) if (a, k) in reach and (k, b) in reach}
+        found = imports.long_cycles(list(pairs), 1)
+        steps = {e for p in found for e in zip(p, p[1:] + p[:1])}
+        assert all(len(set(p)) == len(p) > 1 and p[0] == min(p) for p in found) and len(set(map(tuple, found))) == len(found)
+        assert steps == {(a, b) for a, b in pairs if a != b and (b, a) in reach}
