@@ -13,7 +13,8 @@ from siltbed.sources import corpus as sources
 
 
 class Engine:
-    """``corpus``: (file, text). Parameters have the defaults of the operators; limits are off unless given."""
+    """``corpus``: (file, text). Parameters have the defaults of the operators. Limits of work are off unless given; output
+    caps (``top``, the 10 of most-lists) are the surveyed design's, but for refactor, which covers everything."""
 
     def __init__(self, corpus: DataFrame, extra_patterns: tuple[P.Secret, ...] = (), whitelist: DataFrame | None = None):
         self.corpus, self.catalog, self.whitelist = corpus, (*P.SECRETS, *extra_patterns), whitelist
@@ -69,8 +70,8 @@ class Engine:
         return out | ({"cycles": imports.cycles(edges.where("not external"), max_length)} if detect_circular else {})
 
     def refactor(self) -> dict[str, DataFrame]:
-        groups, numbers, long = self.duplicates(top=None), refactor.magic_numbers(self.lines), refactor.long_functions(self.corpus)
-        return {"suggestions": refactor.suggestions(groups, numbers, long), "constant_fixes": refactor.constant_fixes(numbers), "duplicate_fixes": refactor.duplicate_fixes(groups), "stats": refactor.stats(groups, numbers, long)}
+        groups, numbers, long = self.duplicates(top=None), refactor.magic_numbers(self.lines), refactor.long_functions(self.corpus, top=None)
+        return {"suggestions": refactor.suggestions(groups, numbers, long), "constant_fixes": refactor.constant_fixes(numbers, most=None), "duplicate_fixes": refactor.duplicate_fixes(groups), "stats": refactor.stats(groups, numbers, long)}
 
     def knowledge(self, feature: str, as_of: str) -> DataFrame:
         return knowledge.markers(self.lines, feature, as_of)

@@ -30,6 +30,14 @@ def test_tools(spark, engine):
         engine.search("x", "nothing")
 
 
+def test_refactor_has_no_caps(spark):
+    body = "".join(f"function f{k}() {{\n" + "  step();\n" * 60 + "}\n" for k in range(25)) + "".join(f"total = price * {4200 + k};\n" for k in range(15))
+    out = Engine(spark.createDataFrame([("src/long.js", body)], "file string, text string")).refactor()
+    assert out["stats"].first().long_functions == 25
+    assert out["suggestions"].where("type = 'reduce-complexity'").count() == 25
+    assert out["constant_fixes"].count() == 15
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "kb")
     assert tables.read_or_empty(spark, path, "id string, v int").count() == 0
