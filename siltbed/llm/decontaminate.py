@@ -7,7 +7,7 @@ place, scanned once, and every hit is mapped back to the original text. Narrow:
 
 Defined results: a null or empty document has no hits; a null, empty or under ``min_words`` item is not looked for, since
 a phrase that short can't tell a leak; items with one text are all reported; repeated documents are reported row by row;
-a null id is reported as null. Other columns of either table are ignored.
+a null id, of a document or an item, is reported as null, and items without an id are one item. Other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,11 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", p
 DDL = "doc_id long, item_id long, start long, end long, passage string"
 
 
-def patterns(items: list[tuple[int, str | None]], gram: int, min_words: int) -> dict[str, list[int]]:
+def _order(row: tuple) -> tuple:
+    return tuple((False,) if x is None else (True, x) for x in row)
+
+
+def patterns(items: list[tuple[int | None, str | None]], gram: int, min_words: int) -> dict[str, list[int | None]]:
     """Normalised pattern, with a space at each end -> items that hold it."""
     out: dict[str, list[int]] = {}
     for item, text in items:
@@ -65,10 +69,10 @@ def normalise(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
     return text.tobytes().decode("utf-32-le", "surrogatepass"), np.insert(place, ins, np.repeat(begins[:-1], 2)), begins
 
 
-def scan(texts: list[str | None], automaton) -> list[tuple[int, int, int, int]]:
+def scan(texts: list[str | None], automaton) -> list[tuple[int, int | None, int, int]]:
     """(text index, item, begin, end) of each merged run of hits, in original characters."""
     text, place, begins = normalise(texts)
-    hits: dict[tuple[int, int], list[list[int]]] = {}
+    hits: dict[tuple[int, int | None], list[list[int]]] = {}
     for stop, (size, items) in automaton.iter(text):
         first, last = place[stop - size + 2], place[stop - 1]
         doc = int(np.searchsorted(begins, first, "right")) - 1
@@ -79,13 +83,13 @@ def scan(texts: list[str | None], automaton) -> list[tuple[int, int, int, int]]:
                 runs[-1][1] = max(end, runs[-1][1])
             else:
                 runs.append([begin, end])
-    return [(doc, item, b, e) for (doc, item), runs in sorted(hits.items()) for b, e in runs]
+    return [(doc, item, b, e) for (doc, item), runs in sorted(hits.items(), key=lambda x: _order(x[0])) for b, e in runs]
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = 13, min_words: int = 5) -> DataFrame:
     """One row for each passage of a benchmark item that a document holds: doc_id, item_id, start, end, passage."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
-    found = patterns(sorted((r[0], r[1]) for r in items.distinct().collect()), gram, min_words)
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    found = patterns(sorted(((r[0], r[1]) for r in items.distinct().collect()), key=_order), gram, min_words)
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def find(batches):
@@ -103,8 +107,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = 13,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, gram: int = 13, min_words: int = 5) -> DataFrame:
     """The documents that hold no benchmark passage, with all their columns, judged row by row in one narrow pass."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(patterns(sorted((r[0], r[1]) for r in items.distinct().collect()), gram, min_words))
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(patterns(sorted(((r[0], r[1]) for r in items.distinct().collect()), key=_order), gram, min_words))
     at = docs.columns.index("text")
 
     def keep(batches):

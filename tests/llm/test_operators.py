@@ -249,6 +249,17 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     assert decontaminate.clean_documents(empty, bench).count() == 0
 
 
+def test_decontamination_takes_items_without_an_id(spark):
+    items = [(None, prose(1, 20)), (None, prose(2, 7)), (1, prose(3, 20)), (2, prose(1, 20)), (None, None), (None, "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(k + 50, 20) + " " + x for k, x in enumerate((prose(1, 20), prose(2, 7), prose(3, 20), "a", ""))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contaminated_passages(d, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, None), (0, 2), (1, None), (2, 1)}
+    assert all(texts[r.doc_id][r.start : r.end] == r.passage for r in got)
+    assert {r.doc_id for r in decontaminate.clean_documents(d, bench).collect()} == {3, 4}
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 
