@@ -1,7 +1,7 @@
 """Mixing sources to target weights that change over training.
 
-A schedule gives each source's weight at knots of training time in [0, 1], linear in between; the weights of all sources
-are normalised at each knot. The demand for a source up to time t is the budget times the integral of its weight, a
+A schedule gives each source's weight at knots of training time in [0, 1], linear in between and level before its first
+knot and after its last; sources may have different knots. The weights of all sources are normalised at each knot of any. The demand for a source up to time t is the budget times the integral of its weight, a
 piecewise quadratic. Documents of a source stand in an order by a hash of their id; the position of one is the time at
 which demand reaches the tokens before it, the inverse of that quadratic. Demand beyond a source's tokens starts another
 epoch over it, as often as it takes to meet demand; only a given ``max_epochs`` cuts it short, and what a source then lacks
@@ -45,6 +45,17 @@ def default_schedule(totals: DataFrame) -> DataFrame:
     return totals.select("key", F.explode(F.array(F.struct(F.lit(0.0).alias("t"), F.col("tokens").cast("double").alias("weight")), F.struct(F.lit(1.0).alias("t"), F.sqrt("tokens").alias("weight")))).alias("x")).select("key", "x.t", "x.weight")
 
 
+def filled(knots: DataFrame) -> DataFrame:
+    """(key, t, weight): every source of a schedule at the times of all its knots."""
+    own = knots.groupBy("key", "t").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    grid = own.select("key").distinct().crossJoin(F.broadcast(own.select("t").distinct())).join(own, ["key", "t"], "left")
+    w = Window.partitionBy("key").orderBy("t")
+    knot = F.when(F.col("weight").isNotNull(), F.struct("t", "weight"))
+    grid = grid.withColumn("a", F.last(knot, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(knot, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    between = F.col("a.weight") + (F.col("b.weight") - F.col("a.weight")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    return grid.select("key", "t", F.when(F.col("weight").isNotNull(), F.col("weight")).when(F.col("a").isNull(), F.col("b.weight")).when(F.col("b").isNull(), F.col("a.weight")).otherwise(between).alias("weight"))
+
+
 def demand(totals: DataFrame, knots: DataFrame, budget: Column) -> DataFrame:
     """(key, tokens, segments): for each stretch of the schedule its times, weights and the demand before and after it."""
     sums = knots.groupBy("t").agg(F.aggregate(F.array_sort(F.collect_list("weight")), F.lit(0.0), lambda a, x: a + x).alias("all"))
@@ -82,7 +93,7 @@ def curriculum(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens
     slices = rows.groupBy("_mix_key", "_mix_slice").agg(F.sum("n_tokens").alias("tokens"))
     totals = slices.groupBy("_mix_key").agg(F.sum("tokens").alias("tokens"))
     totals = totals.select(F.col("_mix_key").alias("key"), "tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1))).alias("corpus"))  # one row a source
-    knots = default_schedule(totals) if schedule is None else schedule.select(source_key(F.col("source")).alias("key"), F.col("t").cast("double"), F.col("weight").cast("double"))
+    knots = default_schedule(totals) if schedule is None else filled(schedule.select(source_key(F.col("source")).alias("key"), F.col("t").cast("double"), F.col("weight").cast("double")))
     budget = F.col("corpus").cast("double") if budget_tokens is None else F.lit(float(budget_tokens))
     plan = demand(totals, knots, budget)
     before = slices.select("_mix_key", "_mix_slice", (F.sum("tokens").over(Window.partitionBy("_mix_key").orderBy("_mix_slice")) - F.col("tokens")).alias("_mix_before"))

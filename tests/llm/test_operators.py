@@ -211,6 +211,21 @@ def test_curriculum_meets_the_demand_of_small_sources(spark):
     assert max(r.epoch for r in curriculum.curriculum(d, plan, max_epochs=3).collect()) == 2
 
 
+def test_curriculum_takes_knots_of_each_source(spark):
+    d = spark.createDataFrame([(k, prose(k, 20), "abc"[k % 3]) for k in range(600)], "doc_id long, text string, source string")
+
+    def shares(plan):
+        out = curriculum.curriculum(d, spark.createDataFrame(plan, "source string, t double, weight double"), budget_tokens=12_000.0).collect()
+        n = Counter()
+        for r in out:
+            n[r.source] += r.n_tokens
+        return {k: v / 12_000 for k, v in n.items()}
+
+    b = [("b", 0.0, 0.0), ("b", 0.5, 1.0), ("b", 1.0, 1.0)]
+    assert shares([("a", 0.0, 1.0), ("a", 1.0, 1.0), *b]) == pytest.approx({"a": 0.625, "b": 0.375}, abs=0.01)
+    assert shares([("a", 0.0, 0.5), ("a", 1.0, 0.5), ("b", 0.0, 0.0), ("b", 0.25, 0.5), ("b", 1.0, 0.5), ("c", 0.25, 1.0)]) == pytest.approx({"a": 0.25 * (1 / 3 + 1 / 4) / 2 + 0.75 / 4, "b": 0.25 * (1 / 4) / 2 + 0.75 / 4, "c": 0.25 * (2 / 3 + 1 / 2) / 2 + 0.75 / 2}, abs=0.01)
+
+
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
