@@ -7,29 +7,31 @@ Each document is the set of its word ``n``-grams (lower-cased; fewer words make
    a gram of one document can't be shared, so it only counts towards the size.
 2. Prefixes. A document's grams are ordered by frequency, then hash. Jaccard >= t takes a shared gram among the first
    size - ceil(t * size) + 1 of both; the grams of one document come first, so most documents are done here.
-3. Groups. Documents of one size and one prefix are a group; groups are joined on prefix grams under the size filter and
-   the positional filter, so a thousand copies are one side of one comparison.
-4. Members. Candidate groups are expanded to classes, documents of one size and one set of shared grams, between any two
-   of which Jaccard is one number, and
-5. verified: each class's grams are sent once to each part that holds partners of it, and intersected there.
-
-No partner is capped and no gram is dropped. The join's result is factorised, a row for each pair of classes, since all
-pairs of their members have its Jaccard.
-
-Defined results: a null or empty text, or one without a word, has an empty set and is near to nothing; a null id takes no
-part (as a document it always stays); rows that repeat an id are one document, never near itself, which stays or goes
-with all its rows; ties have nothing to decide; other columns are ignored, or kept by :func:`without_near_copies`.
+3. Groups. Documents of one size and one prefix are a group, with a member for each set of shared grams (a class,
+   between whose documents and those of another Jaccard is one number).
+4. Homes. A prefix gram is sent to its home, the least group that has it, and so are the groups that have it: the grams
+   that a cluster shares have few homes, so that its groups meet there once, and pairs of them are never sent anywhere.
+   A home of many postings is a grid of cells, each of which compares two of its slices.
+5. Pairs. At a home, groups that share a gram pass the size and the positional filter, pairs of groups are expanded to
+   their members, and these are verified by counting shared grams.
+
+No partner is capped and no gram is dropped. :func:`near_copies` has a row for each pair of documents, which grows with
+the square of a cluster, as the result of a join must; :func:`without_near_copies` works on classes.
+
+Defined results: a null or empty text, or one without a word, has an empty set and is near to nothing; rows equal in id
+and text are one document, never near itself, which stays or goes with all its rows; rows that share an id only are
+different documents, of whose pairs with another id the highest Jaccard is reported; rows of a null id are compared like
+others, but have no id by which a pair could be reported; ties have nothing to decide; other columns are ignored, or kept
+by :func:`without_near_copies`.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.arrow import batch_of, pack, texts_of, unpack
@@ -37,16 +39,13 @@ from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_sets, words
 
 CHUNK_GRAMS = 2_000_000
-GRID_PAIRS = 50_000
-BROADCAST_BYTES = 32 << 20
+CELL_POSTINGS = 100_000
+EXPAND = 1_000_000
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 _BLOCK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("docs", pa.binary())])
 _BACK = pa.schema([("chunk", pa.int64()), ("grams", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-_SET = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("alone", pa.int64()), ("prefix", pa.binary()), ("prefix_key", pa.string()), ("grams", pa.binary()), ("class_key", pa.string())])
-
-
-def least_overlap(threshold: float, a: int, b: int) -> int:
-    return math.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+_SET = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int64()), ("alone", pa.int64()), ("prefix", pa.binary()), ("prefix_key", pa.string()), ("grams", pa.binary()), ("class_key", pa.string())])
 
 
 def prefix_length(threshold: float, size: np.ndarray) -> np.ndarray:
@@ -58,6 +57,12 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kind[f.type]}" for f in schema)
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """k1 and k2, 128 bits that tell apart rows of another id or text."""
+    doc_id, text = docs["doc_id"].cast("string"), docs["text"].cast("string")
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, F.lit(1), doc_id).alias("k2")]
+
+
 def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, parts: int) -> DataFrame:
     """Steps 1 and 2: a row for each document with a prefix gram that another document has.
 
@@ -66,7 +71,7 @@ def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, par
 
     def blocks(batches):
         part, number = TaskContext.get().partitionId(), 0
-        ids, sizes, docs_, grams, total = [], [], [], [], 0
+        heads, docs_, grams, total = [], [], [], 0
 
         def flush():
             nonlocal number
@@ -81,24 +86,23 @@ def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, par
                 a, b = edges[k], edges[k + 1]
                 if a < b:
                     yield batch_of(_BLOCK, [k], [chunk], [pack(gram[a:b], ascending=True)], [pack(doc[a:b])])
-            head = np.concatenate(ids).astype("<i8").tobytes()
-            yield batch_of(_BLOCK, [chunk % parts], [chunk], [None], [head + np.concatenate(sizes).astype("<i8").tobytes()])
+            yield batch_of(_BLOCK, [chunk % parts], [chunk], [None], [np.concatenate(heads, 1).astype("<i8").tobytes()])
 
         for batch in batches:
             texts = texts_of(batch, "text")
-            own = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            ids = batch.column("doc_id")
+            own = np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(False), batch.column("k1").to_numpy(), batch.column("k2").to_numpy()])
             for a, b in chunks(texts):
                 doc, gram = gram_sets(words(texts[a:b]), n)
-                done = sum(map(len, ids))
-                if ids and (total + len(gram) > CHUNK_GRAMS or done + b - a > 65536):
+                done = sum(h.shape[1] for h in heads)
+                if heads and (total + len(gram) > CHUNK_GRAMS or done + b - a > 65536):
                     yield from flush()
-                    ids, sizes, docs_, grams, total, done = [], [], [], [], 0, 0
-                ids.append(own[a:b])
-                sizes.append(np.bincount(doc, minlength=b - a))
+                    heads, docs_, grams, total, done = [], [], [], 0, 0
+                heads.append(np.concatenate([own[:, a:b], np.bincount(doc, minlength=b - a)[None]]))
                 docs_.append(doc + done)
                 grams.append(gram)
                 total += len(gram)
-        if ids:
+        if heads:
             yield from flush()
 
     def frequencies(batches):
@@ -132,8 +136,8 @@ def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, par
     def prefixes(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         head = next(d for g, d in zip(rows["grams"], rows["docs"]) if g is None)
-        n_docs = len(head) // 16
-        ids, sizes = np.frombuffer(head, "<i8", n_docs), np.frombuffer(head, "<i8", n_docs, 8 * n_docs)
+        ids, valid, k1, k2, sizes = np.frombuffer(head, "<i8").reshape(5, -1)
+        n_docs = len(ids)
         chunk = rows["chunk"][0]
         some = [k for k, g in enumerate(rows["grams"]) if g is not None]
         out = []
@@ -153,96 +157,166 @@ def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, par
                 q = min(int(useful[d]), len(own))
                 prefix, full = own[:q].tobytes(), np.sort(own).tobytes()
                 key = lambda b: f"{sizes[d]}-{xxhash.xxh128_hexdigest(b)}"
-                out.append((chunk << 16 | int(d), int(ids[d]), int(sizes[d]), int(sizes[d] - shared[d]), prefix, key(prefix), full, key(full)))
+                out.append((chunk << 16 | int(d), int(ids[d]) if valid[d] else None, int(k1[d]), int(k2[d]), int(sizes[d]), int(sizes[d] - shared[d]), prefix, key(prefix), full, key(full)))
         columns = list(zip(*out)) or [[] for _ in _SET]
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _SET)], schema=_SET)
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    own = docs.select(doc_id.alias("doc_id"), text.alias("text"), *row_key(docs))
     back = scratch.write(own.mapInArrow(blocks, _ddl(_BLOCK)).repartitionById(parts, "bucket").mapInArrow(frequencies, _ddl(_BACK)), "shared")
     collect_garbage(docs.sparkSession)
     return back.groupBy("chunk").applyInArrow(prefixes, _ddl(_SET))
 
 
 def _explode_prefix(batches):
-    schema = pa.schema([("gram", pa.int64()), ("place", pa.int64()), ("grp", pa.int64()), ("size", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("place", pa.int32()), ("grp", pa.int64()), ("size", pa.int32())])
     for batch in batches:
         grp, size, alone = (batch.column(c).to_numpy() for c in ("grp", "size", "alone"))
         lists = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
         many = np.array([len(x) for x in lists], np.int64)
         if many.sum():
             place = np.concatenate([np.arange(k) for k in many]) + np.repeat(alone, many)
-            yield batch_of(schema, np.concatenate(lists), place, np.repeat(grp, many), np.repeat(size, many))
+            yield batch_of(schema, np.concatenate(lists), place.astype(np.int32), np.repeat(grp, many), np.repeat(size, many).astype(np.int32))
+
+
+def candidate_groups(left: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, first, second): the groups at a spot, and pairs of indexes of those that pass the filters at some gram."""
+    grp, gram, cells, cell, size, place = (left[c].to_numpy() for c in ("grp", "gram", "cells", "cell", "size", "place"))
+    groups, own = np.unique(grp, return_inverse=True)
+    real = np.flatnonzero(place >= 0)
+    order = real[np.lexsort((own[real], cells[real], gram[real]))]
+    gram, cells, cell, size, place, own = gram[order], cells[order], cell[order], size[order].astype(np.int64), place[order].astype(np.int64), own[order]
+    run = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (cells[1:] != cells[:-1])])) if len(order) else order
+    left_over = np.bincount(run, minlength=1)[run] if len(order) else order
+    at = np.arange(len(order)) - np.searchsorted(run, run)
+    diagonal = (cells >> 32) == (cells & 0xFFFFFFFF)
+    found, waiting = np.zeros(0, np.int64), []
+    x = np.arange(len(order))
+    for by in range(1, int(left_over.max(initial=1))):
+        x = x[at[x] + by < left_over[x]]
+        y = x + by
+        big, small = np.maximum(size[x], size[y]), np.minimum(size[x], size[y])
+        need = np.ceil(threshold / (1 + threshold) * (size[x] + size[y]) - 1e-9)
+        ok = (small >= threshold * big - 1e-6) & (np.minimum(size[x] - place[x], size[y] - place[y]) >= need) & (diagonal[x] | (cell[x] != cell[y]))
+        waiting.append(own[x[ok]] * len(groups) + own[y[ok]])
+        if sum(map(len, waiting)) > EXPAND:
+            found, waiting = np.unique(np.concatenate([found, *waiting])), []
+    found = np.unique(np.concatenate([found, *waiting]))
+    return groups, found // max(1, len(groups)), found % max(1, len(groups))
+
+
+def shared_counts(flat: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, kinds: int) -> np.ndarray:
+    """How many numbers sets a[k] and b[k] share; ``a`` ascends, a set is a stretch of ``flat``, whose numbers are under ``kinds``."""
+    out, mark = np.zeros(len(a), np.int64), np.zeros(kinds, bool)
+    edges = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+    sizes = np.diff(offsets)
+    for s, e in zip(edges[:-1], edges[1:]):
+        own = flat[offsets[a[s]] : offsets[a[s] + 1]]
+        mark[own] = True
+        for lo in range(s, e, 4096):
+            other = b[lo : min(e, lo + 4096)]
+            many = sizes[other]
+            first = np.cumsum(many) - many
+            places = np.repeat(offsets[other] - first, many) + np.arange(int(many.sum()))
+            out[lo : lo + len(other)] = np.add.reduceat(mark[flat[places]].astype(np.int64), first)
+        mark[own] = False
+    return out
+
+
+def _verifier(threshold: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        groups, first, second = candidate_groups(left, threshold)
+        home = np.searchsorted(groups, right["grp"].to_numpy())
+        order = np.lexsort((right["uid"].to_numpy(), home))
+        home, uid, size = home[order], right["uid"].to_numpy()[order], right["size"].to_numpy()[order]
+        blobs = right["grams"].to_pylist()
+        grams = [np.frombuffer(blobs[k], np.uint64) for k in order]
+        kinds, flat = np.unique(np.concatenate(grams), return_inverse=True)
+        offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+        del blobs, grams
+        begin = np.searchsorted(home, np.arange(len(groups) + 1))
+        many = np.diff(begin)
+        inner = np.searchsorted(groups, np.unique(left["grp"].to_numpy()[left["place"].to_numpy() < 0]))  # these compare their members too
+        first, second = np.concatenate([first, inner]), np.concatenate([second, inner])
+        product = many[first] * many[second]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(product) // EXPAND)) + 1, [len(first)]])
+        out = []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            n = product[s:e]
+            if not n.sum():
+                continue
+            pair = np.repeat(np.arange(s, e), n)
+            nth = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            a, b = begin[first[pair]] + nth // many[second[pair]], begin[second[pair]] + nth % many[second[pair]]
+            on = (first[pair] != second[pair]) | (a < b)
+            a, b = a[on], b[on]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            common = shared_counts(flat, offsets, a, b, len(kinds))
+            jaccard = common / (size[a] + size[b] - common)
+            near = jaccard >= threshold
+            a, b = uid[a[near]], uid[b[near]]
+            out.append(pa.table([np.minimum(a, b), np.maximum(a, b), jaccard[near]], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return verify
 
 
 def near_classes(docs: DataFrame, scratch: Scratch, n: int = 3, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(class, members, size, shared), one row for each class, and (a, b, jaccard) of near classes, a < b."""
+    """(cls, members, size, shared), one row for each class, and (a, b, jaccard) of near classes, a < b."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = shared_sets(docs, scratch, n, threshold, parts)
     fields = ("size", "alone", "prefix", "prefix_key", "grams")
-    classes = sets.groupBy("class_key").agg(F.min("uid").alias("uid"), F.min_by(F.struct(*fields), "uid").alias("s"), F.sort_array(F.collect_set("doc_id")).alias("members"))
+    classes = sets.groupBy("class_key").agg(F.min("uid").alias("uid"), F.min_by(F.struct(*fields), "uid").alias("s"), F.sort_array(F.collect_set(F.struct("doc_id", "k1", "k2"))).alias("members"))
     classes = scratch.write(classes.select("uid", "members", "s.*"), "classes")
     scratch.drop("shared")
     collect_garbage(spark)
-    groups = scratch.write(classes.groupBy("prefix_key").agg(F.min("uid").alias("grp"), F.collect_list("uid").alias("classes")), "groups")
-    first = groups.select(F.col("grp").alias("uid"))
-    first = F.broadcast(first) if scratch.bytes("groups") < BROADCAST_BYTES else first
-    heads = classes.join(first, "uid", "left_semi").select(F.col("uid").alias("grp"), "size", "alone", "prefix")
-    lists = heads.mapInArrow(_explode_prefix, "gram long, place long, grp long, size long")
-    a, b = lists.alias("a"), lists.alias("b")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
-    room = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-    near = (F.col("a.grp") < F.col("b.grp")) & (F.col("b.size") >= F.lit(threshold) * F.col("a.size") - 1e-6) & (F.col("a.size") >= F.lit(threshold) * F.col("b.size") - 1e-6) & (room >= need)
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & near).select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
-    ga, gb = groups.select(F.col("grp").alias("ga"), F.col("classes").alias("ca")), groups.select(F.col("grp").alias("gb"), F.col("classes").alias("cb"))
-    across = pairs.join(ga, "ga").join(gb, "gb").select(F.explode("ca").alias("a"), "cb").select("a", F.explode("cb").alias("b"))
-    within = ga.where(F.size("ca") > 1).select(F.explode("ca").alias("a"), "ca").select("a", F.explode("ca").alias("b")).where("a < b")
-    both = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # the pairs of a cluster are checked in one place, cut into a grid if they are many, so grams travel little
-    near_to = both.groupBy("b").agg(F.min("a").alias("home"))
-    homed = scratch.write(both.join(near_to, "b"), "homed")
-    collect_garbage(spark)
-    grid = homed.groupBy("home").agg(F.ceil(F.sqrt(F.count("*") / F.lit(GRID_PAIRS))).alias("cells"))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.col("cells"))
-    spot = F.pmod(F.xxhash64("home", cell("a"), cell("b")), F.lit(4 * parts)).cast("int")
-    both = scratch.write(homed.join(grid, "home").select("a", "b", spot.alias("spot")), "pairs")
-    scratch.drop("homed")
-    wanted = both.select(F.col("spot").alias("at"), F.col("a").alias("uid")).union(both.select("spot", "b")).distinct()
-    blobs = wanted.join(classes.select("uid", "size", "grams"), "uid").select("at", "uid", "size", "grams")
-
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets_ = {u: (s, np.frombuffer(g, np.uint64)) for u, s, g in zip(right["uid"].to_pylist(), right["size"].to_pylist(), right["grams"].to_pylist())}
-        x, y = left["a"].to_numpy(), left["b"].to_numpy()
-        jaccard = np.zeros(len(x))
-        order = np.argsort(x, kind="stable")
-        for k in order:
-            (sa, ga_), (sb, gb_) = sets_[x[k]], sets_[y[k]]
-            if len(ga_) > len(gb_):
-                ga_, gb_ = gb_, ga_
-            at = np.searchsorted(gb_, ga_)
-            common = int((gb_[np.minimum(at, len(gb_) - 1)] == ga_).sum())
-            jaccard[k] = common / (sa + sb - common)
-        on = jaccard >= threshold
-        return pa.table({"a": x[on], "b": y[on], "jaccard": jaccard[on]})
-
-    found = both.groupBy("spot").cogroup(blobs.groupBy("at")).applyInArrow(verify, "a long, b long, jaccard double")
-    found = scratch.write(found, "found")
+    groups = classes.groupBy("prefix_key").agg(F.min("uid").alias("grp"), F.min_by(F.struct("size", "alone", "prefix"), "uid").alias("s"), F.collect_list("uid").alias("classes"))
+    groups = scratch.write(groups.select("grp", "classes", "s.*"), "groups")
+    lists = groups.select("grp", "size", "alone", "prefix").mapInArrow(_explode_prefix, "gram long, place int, grp long, size int")
+    homes = lists.groupBy("gram").agg(F.min("grp").alias("home"), F.max("grp").alias("last"), F.count("*").alias("n")).where("home < last")
+    homes = scratch.write(homes.select("gram", "home", "n"), "homes")
+    wide = homes.groupBy("home").agg(F.ceil(F.sum("n") / CELL_POSTINGS).cast("int").alias("wide")).where("wide > 1")
+    spot = lambda home, cells: F.pmod(F.xxhash64(home, cells), F.lit(4 * parts)).cast("int")
+    placed = lists.join(homes.join(wide, "home", "left").select("gram", "home", F.coalesce("wide", F.lit(1)).alias("wide")), "gram")
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("grp"), F.col("wide")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    placed = placed.withColumn("cells", F.shiftleft(F.least("cell", "with").cast("long"), 32) + F.greatest("cell", "with"))
+    fields = ("gram", "cells", "cell", "grp", "size", "place")
+    placed = placed.select(spot(F.col("home"), F.col("cells")).alias("spot"), *fields)
+    zero = F.lit(0)
+    inner = groups.where(F.size("classes") > 1).select(spot(F.col("grp"), zero.cast("long")).alias("spot"), zero.cast("long").alias("gram"), zero.cast("long").alias("cells"), zero.alias("cell"), "grp", F.col("size").cast("int"), F.lit(-1).alias("place"))
+    placed = scratch.write(placed.unionByName(inner), "placed")
+    wanted = placed.select(F.col("spot").alias("at"), F.col("grp").alias("of")).distinct().join(groups.select(F.col("grp").alias("of"), F.explode("classes").alias("uid")), "of")
+    blobs = wanted.join(classes.select("uid", "size", "grams"), "uid").select("at", F.col("of").alias("grp"), "uid", "size", "grams")
+    found = placed.groupBy("spot").cogroup(blobs.groupBy("at")).applyInArrow(_verifier(threshold), "a long, b long, jaccard double")
+    found = scratch.write(found.dropDuplicates(["a", "b"]), "found")
+    scratch.drop("groups", "homes", "placed")
     collect_garbage(spark)
     return classes.select(F.col("uid").alias("cls"), "members", "size", (F.length("grams") / 8).cast("long").alias("shared")), found
 
 
-def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
-    """Near documents, factorised: every id of ``doc_ids`` and every other id of ``other_ids`` have this ``jaccard``.
+def inside(classes: DataFrame, threshold: float) -> DataFrame:
+    """(cls, members, jaccard) of the classes whose own documents are near each other, mostly exact copies."""
+    jaccard = F.col("shared") / (2 * F.col("size") - F.col("shared"))
+    return classes.where(F.size("members") > 1).select("cls", "members", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
-    The two lists are equal where documents of one class, mostly exact copies, are near each other.
-    """
+
+def near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
+    """A row for each pair of near documents: doc_id, other_id (the greater id) and their jaccard."""
     scratch = Scratch(docs.sparkSession, "ngrams")
     classes, found = near_classes(docs, scratch, n, threshold)
-    lists = classes.select("cls", "members")
-    across = found.join(lists.select(F.col("cls").alias("a"), F.col("members").alias("doc_ids")), "a").join(lists.select(F.col("cls").alias("b"), F.col("members").alias("other_ids")), "b")
-    across = across.where((F.size("doc_ids") > 1) | (F.size("other_ids") > 1) | (F.col("doc_ids")[0] != F.col("other_ids")[0]))
-    inside = classes.where(F.size("members") > 1).withColumn("jaccard", F.col("shared") / (2 * F.col("size") - F.col("shared"))).where(F.col("jaccard") >= threshold)
-    return across.select("doc_ids", "other_ids", "jaccard").unionByName(inside.select(F.col("members").alias("doc_ids"), F.col("members").alias("other_ids"), "jaccard"))
+    known = F.filter(F.col("members")["doc_id"], lambda x: x.isNotNull())
+    ids = classes.select("cls", known.alias("ids"))
+    across = found.join(ids.select(F.col("cls").alias("a"), F.col("ids").alias("xs")), "a").join(ids.select(F.col("cls").alias("b"), F.col("ids").alias("ys")), "b")
+    within = inside(classes, threshold).select(known.alias("xs"), known.alias("ys"), "jaccard")
+    pairs = lambda df: df.select(F.explode("xs").alias("x"), "ys", "jaccard").select("x", F.explode("ys").alias("y"), "jaccard")
+    pairs = pairs(across).where("x <> y").select("x", "y", "jaccard").unionByName(pairs(within).where("x < y"))
+    return pairs.groupBy(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_id")).agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -267,17 +341,35 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
-    """The documents without all but the least id of each group of near copies (a connected component of the join)."""
+    """The documents without all but the least id of each group of near copies (a connected component of the join).
+
+    A null id is the greatest; of documents of one id the one of least hash is the least.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     classes, found = near_classes(docs, scratch, n, threshold)
-    loops = classes.where(F.size("members") > 1).where(F.col("shared") / (2 * F.col("size") - F.col("shared")) >= threshold).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    loops = inside(classes, threshold).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     # classes whose members aren't near each other are joined through a near class, if they have one
     labels = components(found.select("a", "b").union(loops), scratch)
-    inside = labels.join(classes, labels["node"] == classes["cls"]).select("label", F.explode("members").alias("id")).distinct()
-    least = inside.groupBy("label").agg(F.min("id").alias("least"))
-    going = inside.join(least, "label").where("id <> least").select(F.col("id").alias("_near_copy")).distinct()
+    rows = labels.join(classes.select(F.col("cls").alias("node"), "members"), "node").select("label", F.explode("members").alias("m"))
+    order = F.struct(F.col("m.doc_id").isNull().alias("none"), "m.doc_id", "m.k1", "m.k2")
+    least = rows.groupBy("label").agg(F.min(order).alias("least"))
+    going = rows.join(least, "label").where(order != F.col("least")).select(F.col("m.k1").alias("_near_k1"), F.col("m.k2").alias("_near_k2"))
     going = scratch.write(going, "going")
-    scratch.drop("classes", "groups", "pairs")
-    side = F.broadcast(going) if scratch.bytes("going") < BROADCAST_BYTES else going
-    return docs.join(side, docs["doc_id"].cast("long") == F.col("_near_copy"), "left_anti")
+    scratch.drop("classes", "found", "edges")
+    small = going.count() * ROW_BYTES < BROADCAST_BYTES  # as it is in memory, not as Parquet
+    k1, k2 = row_key(docs)
+    return docs.join(F.broadcast(going) if small else going, (k1 == F.col("_near_k1")) & (k2 == F.col("_near_k2")), "left_anti")
+
+
+_WORD = r"[\p{L}\p{N}_]+"
+
+SQL = f"""
+with w as (select doc_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x)) as w from documents where text is not null and doc_id is not null),
+g as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then ['~' || array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) end)) as g from w),
+s as (select doc_id, g, count(*) over (partition by doc_id) as n from g),
+p as (select a.doc_id, b.doc_id as other_id, count(*) as c, any_value(a.n) as x, any_value(b.n) as y
+  from s a join s b on a.g = b.g and a.doc_id < b.doc_id and a.n >= 0.59 * b.n and b.n >= 0.59 * a.n group by a.doc_id, b.doc_id)
+select doc_id, other_id, c::double / (x + y - c) as jaccard from p where c::double / (x + y - c) >= 0.6
+"""
