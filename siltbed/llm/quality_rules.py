@@ -10,7 +10,8 @@ failure (fixed-sequence testing needs no further correction within a stratum; Bo
 probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good documents. Where no level is certified,
 nothing is rejected.
 
-The signals go to a table in the shared folder, so the text is read once; all that is shuffled is labels and signals.
+The signals go to a table in the shared folder, so the text is read once; all that is shuffled is labels and signals,
+and ranks of labelled documents are taken in slices, so that a stratum can have any size.
 Defined results: null or empty text has signals 0; a null language is a stratum of its own; null labels are ignored, and
 of a document labelled twice the lower label holds; repeated rows count once for calibration and are each judged; a null
 id can't be labelled, but is judged. Other columns of either table are ignored.
@@ -29,6 +30,7 @@ from pyspark.sql.types import DoubleType
 from siltbed.llm.scratch import Scratch
 
 SIGNALS = ("symbol_share", "upper_share", "repeat_share", "known_line_share", "word_length")
+SLICES = 64
 #: (factor, f): a level's cutoff for a signal is the factor times what f of 10,000 good documents exceed (0: the most seen).
 LEVELS = ((4.0, 0), (2.0, 0), (1.5, 0), (1.2, 0), (1.0, 0), (1.0, 10), (1.0, 25), (1.0, 50), (1.0, 100))
 
@@ -53,9 +55,10 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X <= k) for X binomial (n, p), summed exactly term by term."""
     if k >= n:
         return 1.0
-    j = np.arange(0, int(k) + 1)
-    log = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in j]) + j * math.log(p) + (n - j) * math.log1p(-p)
-    return float(min(1.0, np.exp(log).sum()))
+    j = np.arange(1, int(k) + 1, dtype=float)
+    log = n * math.log1p(-p) + np.concatenate([[0.0], np.cumsum(np.log((n - j + 1) / j)) + j * (math.log(p) - math.log1p(-p))])
+    top = log.max()
+    return float(min(1.0, math.exp(top) * np.exp(log - top).sum()))
 
 
 @F.pandas_udf(DoubleType())
@@ -67,16 +70,31 @@ def holdout(doc_id: Column) -> Column:
     return F.substring(F.md5(doc_id.cast("string")), 1, 1).isin(*"01234567")
 
 
+def order_statistics(long: DataFrame) -> DataFrame:
+    """(stratum, signal, v, before, upto, n): each value has the ranks from before + 1 to upto among the n of its stratum.
+
+    In two levels, so that no stratum, however large, is one task: values are counted once, cut into slices by approximate
+    quantiles, and ranked within their slice.
+    """
+    values = long.groupBy("stratum", "signal", "v").agg(F.count("*").alias("many"))
+    edges = values.groupBy("stratum", "signal").agg(F.sum("many").alias("n"), F.percentile_approx("v", [k / SLICES for k in range(1, SLICES)], 20 * SLICES).alias("edges"))
+    placed = values.join(F.broadcast(edges), ["stratum", "signal"]).withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")  # a row for each stratum and signal
+    slices = placed.groupBy("stratum", "signal", "slice").agg(F.sum("many").alias("all"))
+    start = slices.withColumn("start", F.sum("all").over(Window.partitionBy("stratum", "signal").orderBy("slice")) - F.col("all")).drop("all")
+    inside = F.sum("many").over(Window.partitionBy("stratum", "signal", "slice").orderBy("v"))
+    ranked = placed.withColumn("inside", inside).join(start, ["stratum", "signal", "slice"])
+    return ranked.select("stratum", "signal", "v", (F.col("start") + F.col("inside") - F.col("many")).alias("before"), (F.col("start") + F.col("inside")).alias("upto"), "n")
+
+
 def certified(judged: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """(stratum, level, one cutoff for each signal) of each stratum's strictest certified policy."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     one = judged.groupBy("doc_id").agg(F.max("stratum").alias("stratum"), *[F.max(s).alias(s) for s in SIGNALS])
     good = one.join(good, "doc_id").withColumn("held", holdout(F.col("doc_id")))
     long = good.where("not held").select("stratum", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in SIGNALS])).alias("x")).select("stratum", "x.*")
-    by = Window.partitionBy("stratum", "signal")
-    ranked = long.withColumn("rank", F.row_number().over(by.orderBy("v"))).withColumn("n", F.count("*").over(by))
+    ranked = order_statistics(long)
     levels = F.explode(F.array(*[F.struct(F.lit(j).alias("level"), F.lit(x).alias("factor"), F.lit(f).alias("cut")) for j, (x, f) in enumerate(LEVELS)]))
-    cut = ranked.select("*", levels.alias("l")).where("rank = n - (n * l.cut) div 10000")
+    cut = ranked.select("*", levels.alias("l")).where("before < n - (n * l.cut) div 10000 and n - (n * l.cut) div 10000 <= upto")
     cuts = cut.groupBy("stratum", "l.level").agg(*[F.max(F.when(F.col("signal") == s, F.col("v") * F.col("l.factor"))).alias(f"cut_{s}") for s in SIGNALS])
     bad = F.lit(False)
     for s in SIGNALS:
