@@ -2,8 +2,10 @@
 
 A byte-pair encoder never merges across pre-tokens, so a document's count is the sum, over its distinct pre-tokens, of
 frequency times pieces. Each task turns its documents into postings (pre-token -> documents and frequencies) by chunk
-and sends each pre-token of a chunk once. They meet by pre-token, where each distinct pre-token is encoded once in all
-the corpus and its piece count is joined to its postings in place; sums by chunk go back and are added up. What moves is
+and sends each pre-token of a chunk once. They meet by pre-token, where each distinct pre-token is encoded once
+and its piece count is joined to its postings in place; sums by chunk go back and are added up. A pre-token that many
+documents of a chunk hold, such as the article of a language, has several such places, in proportion to its frequency, so
+that no task gets all its postings; it is encoded once in each. What moves is
 a few bytes for each (document, distinct pre-token), and nothing is broadcast but the vocabulary's path.
 
 The whitespace class is spelled out, since regular-expression engines differ on it; the result equals that of encoding
@@ -30,7 +32,10 @@ PRE_TOKEN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{
 CHUNK = 2_000_000  # pre-tokens of a chunk; documents of one, at most 65,536
 POSTING = np.dtype([("doc", "<u2"), ("freq", "<u4")])
 
-_SENT = pa.schema([("token", pa.string()), ("chunk", pa.int64()), ("postings", pa.binary())])
+SHARE = 8  # postings of a pre-token that a chunk sends to one place, on average over chunks
+KNOWN = 1 << 20  # pre-tokens whose piece counts a task keeps
+
+_SENT = pa.schema([("token", pa.string()), ("chunk", pa.int64()), ("salt", pa.int64()), ("postings", pa.binary())])
 _PART = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_pre_tokens", pa.int64())])
 
@@ -44,6 +49,13 @@ def encoder(path: str):
     return tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
 
+def salts(chunk: int, many: np.ndarray) -> np.ndarray:
+    """Which of its places each pre-token's postings go to: one for a rare pre-token, more by powers of two for frequent ones."""
+    places = 1 << np.ceil(np.log2(np.maximum(1, many / SHARE))).astype(np.int64)
+    spread = ((chunk ^ (chunk >> 24)) * 0x9E3779B1) & 0x7FFFFFFF
+    return spread % places + places  # the places of another power are others
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_pre_tokens of each document. ``vocabulary``: a rank file that every executor can read."""
 
@@ -63,12 +75,13 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             key, freq = np.unique(flat * 65536 + doc, return_counts=True)
             rows = np.empty(len(key), POSTING)
             rows["doc"], rows["freq"] = key & 65535, freq
-            ends = np.cumsum(np.bincount(key >> 16, minlength=len(known))) * POSTING.itemsize
+            many = np.bincount(key >> 16, minlength=len(known))
+            ends = np.cumsum(many) * POSTING.itemsize
             offsets = np.concatenate([[0], ends]).astype(np.int32)
             column = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
-            yield batch_of(_SENT, list(known), np.full(len(known), chunk), column)
+            yield batch_of(_SENT, list(known), np.full(len(known), chunk), salts(chunk, many), column)
             head = pack(np.array(valid)) + b""
-            yield batch_of(_SENT, [None], [chunk], [len(head).to_bytes(4, "little") + head + np.array(ids, np.int64).tobytes()])
+            yield batch_of(_SENT, [None], [chunk], [0], [len(head).to_bytes(4, "little") + head + np.array(ids, np.int64).tobytes()])
 
         for batch in batches:
             column = batch.column("doc_id")
@@ -99,6 +112,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     continue
                 n = pieces.get(token)
                 if n is None:
+                    if len(pieces) >= KNOWN:
+                        pieces.clear()
                     n = pieces[token] = len(encode(token))
                 numbers[k] = n
             offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(tokens) + 1]
@@ -137,8 +152,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(postings, "token string, chunk long, postings binary")
-        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.coalesce(F.xxhash64("token"), F.col("chunk")))
+        .mapInArrow(postings, "token string, chunk long, salt long, postings binary")
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.when(F.col("token").isNull(), F.col("chunk")).otherwise(F.xxhash64("token", "salt")))
         .mapInArrow(count, "chunk long, docs binary, counts binary")
         .groupBy("chunk")
         .applyInArrow(add_up, "doc_id long, n_tokens long, n_pre_tokens long")
