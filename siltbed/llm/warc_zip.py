@@ -6,14 +6,17 @@ and ``datapackage.json``. Since members are stored, a record is a byte range of
 
 Reading takes three narrow steps over a table of paths: the end-of-central-directory record, its ZIP64 locator and record
 where sizes call for them, and the central directory give each member's place; a member's local header gives where its
-data begin; index lines (or, of an archive without an index, a walk over its gzip members) give each record's range. The
-ranges are spread over tasks, packages cut into runs of neighbouring records, and each run is one read. No step reads a
+data begin; index lines, read in pieces, give each record's range, and a walk over the gzip members gives those of what no
+index line covers, or of an archive without an index. The ranges are spread over tasks, packages cut into runs of neighbouring records, and each run is one read. No step reads a
 whole package; a compressed member can't be range-read and is an error.
 
 Defined results: a null URL or null html is written without its header or with ``X-Null-Block`` and comes back null; empty
 html comes back empty; ids, URLs and texts of any length and any characters but line breaks in a URL, which are escaped,
 come back as they were; repeated rows are repeated records; an empty table makes no package and reads as no records;
-other columns are not written.
+other columns are not written. Of packages by other tools, records of type resource, response and conversion are pages,
+without an id; an HTTP response is read without its header, and decoded as that says; others (warcinfo, request,
+metadata, revisit) are no pages. Header names have any case; a record listed twice is read once. A text that isn't
+in its charset is read as UTF-8 with replacement characters.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.arrow import batch_of
-from siltbed.llm.scratch import shared_dir
+from siltbed.llm.scratch import Scratch
 
 RUN_BYTES = 4 << 20
 _PACKAGE = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
@@ -56,6 +61,7 @@ def _record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     head += [f"WARC-Target-URI: {quote(url, safe=_SAFE)}"] if url is not None else []
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     head += ["X-Null-Block: 1"] if html is None else []
+    head += ["X-Escaped: 1"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -204,9 +210,9 @@ def members(packages: DataFrame) -> DataFrame:
     return packages.select("path").mapInArrow(locate, "path string, member string, start long, size long")
 
 
-def _walk(f, start: int, size: int) -> Iterator[tuple[int, int]]:
-    """(offset, length) of each gzip member of an archive, by inflating it in pieces."""
-    at, begun, left, engine = 0, 0, b"", zlib.decompressobj(31)
+def _walk(f, start: int, size: int, at: int = 0) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each gzip member of an archive from ``at`` to ``size``, by inflating it in pieces."""
+    begun, left, engine = at, b"", zlib.decompressobj(31)
     while at < size or left:
         data = left
         if not data:
@@ -220,8 +226,48 @@ def _walk(f, start: int, size: int) -> Iterator[tuple[int, int]]:
             begun, engine = end, zlib.decompressobj(31)
 
 
+def _index_lines(f, start: int, size: int, packed: bool) -> Iterator[str]:
+    """Lines of an index member, read in pieces."""
+    engine, rest, at = zlib.decompressobj(31), b"", 0
+    while at < size:
+        data = _at(f, start + at, min(1 << 20, size - at))
+        at += len(data)
+        while packed and data:
+            rest += engine.decompress(data)
+            data = engine.unused_data
+            if engine.eof:
+                engine = zlib.decompressobj(31)
+        *lines, rest = (rest + data).split(b"\n")
+        yield from (x.decode("utf-8", "replace") for x in lines)
+    if rest:
+        yield rest.decode("utf-8", "replace")
+
+
+def _archive_of(filename: str, archives: dict[str, tuple[int, int]]) -> str | None:
+    """The archive that an index means: by its full name, its name under ``archive/``, or a base name that only one has."""
+    for name in (filename, f"archive/{filename}"):
+        if name in archives:
+            return name
+    same = [n for n in archives if n.split("/")[-1] == filename.split("/")[-1]]
+    return same[0] if len(same) == 1 else None
+
+
+def _records(f, start: int, size: int, listed: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(offset, length) of all records of an archive in order: those an index lists, and, walked, those in what none covers."""
+    end = 0
+    for offset, length in listed.tolist():
+        if offset < end:  # listed again
+            continue
+        if offset > end:
+            yield from _walk(f, start, offset, end)
+        yield offset, length
+        end = offset + length
+    if end < size:
+        yield from _walk(f, start, size, end)
+
+
 def ranges(found: DataFrame) -> DataFrame:
-    """(path, start, size, lengths): runs of neighbouring records of up to ``RUN_BYTES``, from indexes where there are any."""
+    """(path, start, size, lengths): runs of neighbouring records of up to ``RUN_BYTES``, from indexes as far as they go."""
 
     def runs(batches):
         rows: dict[str, list[tuple[str, int, int]]] = {}
@@ -231,19 +277,19 @@ def ranges(found: DataFrame) -> DataFrame:
         for path, own in rows.items():
             system, base = _open(path)
             with system.open_input_file(base) as f:
-                archives = {n.split("/")[-1]: (s, z) for n, s, z in own if n.startswith("archive/") and ".warc" in n}
-                places: dict[str, list[tuple[int, int]]] = {n: [] for n in archives}
+                archives = {n: (s, z) for n, s, z in own if n.startswith("archive/") and ".warc" in n}
+                places = {n: array("q") for n in archives}  # 16 bytes a record
                 for name, start, size in own:
-                    if name.startswith("indexes/"):
-                        raw = _at(f, start, size)
-                        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+                    if name.startswith("indexes/") and ".cdx" in name:
+                        for line in _index_lines(f, start, size, name.endswith(".gz")):
                             if (k := line.find("{")) >= 0:
                                 x = json.loads(line[k:])
-                                if x["filename"].split("/")[-1] in places:
-                                    places[x["filename"].split("/")[-1]].append((int(x["offset"]), int(x["length"])))
+                                if (which := _archive_of(x["filename"], archives)) is not None:
+                                    places[which].extend((int(x["offset"]), int(x["length"])))
                 for name, (start, size) in archives.items():
+                    listed = np.frombuffer(places[name], np.int64).reshape(-1, 2)
                     run, lengths, end = None, [], None
-                    for offset, length in sorted(places[name]) or _walk(f, start, size):
+                    for offset, length in _records(f, start, size, listed[np.argsort(listed[:, 0], kind="stable")]):
                         if run is None or offset != end or end - run + length > RUN_BYTES:
                             if lengths:
                                 yield batch_of(_RANGE, [path], [start + run], [end - run], [lengths])
@@ -256,10 +302,55 @@ def ranges(found: DataFrame) -> DataFrame:
     return found.mapInArrow(runs, "path string, start long, size long, lengths array<long>")
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-cased name, folded lines joined."""
+    text = head.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ")
+    return {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in text.split("\r\n")[1:]) if colon}
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(fields by lower-cased name, block)."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
-    return fields, rest[: int(fields["Content-Length"])]
+    fields = _fields(head)
+    return fields, rest[: int(fields.get("content-length", len(rest)))]
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (k := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:k].split(b";")[0], 16)
+        except ValueError:
+            return body  # it only says that it is chunked
+        if n == 0:
+            return b"".join(out)
+        out.append(body[k + 2 : k + 2 + n])
+        at = k + 2 + n + 2
+    return b"".join(out) if out else body
+
+
+def page_of(fields: dict[str, str], block: bytes) -> tuple[str, str] | None:
+    """(kind, text) of a record that holds a page: a resource's block, or an HTTP response's body, decoded; else None."""
+    kind = fields.get("warc-type", "").lower()
+    if kind not in ("resource", "response", "conversion"):
+        return None
+    mime = fields.get("content-type", "").lower()
+    if kind == "response" and mime.startswith("application/http"):
+        head, _, block = block.partition(b"\r\n\r\n")
+        http = _fields(head)
+        if "chunked" in http.get("transfer-encoding", "").lower():
+            block = _dechunked(block)
+        if http.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+            try:
+                block = zlib.decompress(block, 47)
+            except zlib.error:
+                pass  # stored decoded, as many crawlers do
+        mime = http.get("content-type", "").lower()
+    charset = mime.partition("charset=")[2].split(";")[0].strip("\"' ") or "utf-8"
+    try:
+        return kind, block.decode(charset, "surrogatepass")
+    except (LookupError, UnicodeError):
+        return kind, block.decode("utf-8", "replace")
 
 
 def read_records(spans: DataFrame) -> DataFrame:
@@ -273,10 +364,16 @@ def read_records(spans: DataFrame) -> DataFrame:
                     data = _at(f, start, size)
                 out, at = [], 0
                 for n in lengths:
-                    fields, body = parse_record(gzip.decompress(data[at : at + n]))
+                    fields, block = parse_record(gzip.decompress(data[at : at + n]))
                     at += n
-                    url, page = fields.get("WARC-Target-URI"), fields.get("X-Page-Id")
-                    out.append((int(page) if page is not None else None, unquote(url, errors="surrogatepass") if url is not None else None, None if "X-Null-Block" in fields else body.decode("utf-8", "surrogatepass")))
+                    if (page := page_of(fields, block)) is None:
+                        continue
+                    url, own = fields.get("warc-target-uri"), fields.get("x-page-id")
+                    if own is not None or "x-null-block" in fields or fields.get("x-escaped"):  # of the writer here, which escapes
+                        url = unquote(url, errors="surrogatepass") if url is not None else None
+                    elif url is not None:
+                        url = url.strip("<>")
+                    out.append((int(own) if own is not None else None, url, None if "x-null-block" in fields else page[1]))
                 if out:
                     yield batch_of(_RECORD, *map(list, zip(*out)))
 
@@ -292,7 +389,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Packs the pages in the shared folder and reads them back from there."""
-    folder = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    folder = Scratch(spark, "packages").root  # goes when the session ends, since the result reads it
     if folder.startswith("file:") or "://" not in folder:
         system, base = _open(folder)
         system.create_dir(base)
