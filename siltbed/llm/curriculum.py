@@ -113,12 +113,13 @@ def curriculum(docs: DataFrame, schedule: DataFrame | None = None, budget_tokens
     s = F.col("_mix_part")
     y = F.greatest(F.lit(0.0), (F.col("_mix_x") - s["d0"]) / F.col("budget"))
     root = F.sqrt(F.greatest(F.lit(0.0), s["w0"] * s["w0"] + 2 * y * (s["w1"] - s["w0"]) / (s["t1"] - s["t"])))
-    placed = placed.withColumn("position", F.round(s["t"] + F.when(y > 0, 2 * y / (s["w0"] + root)).otherwise(0.0), 9))
+    placed = placed.withColumn("_mix_at", s["t"] + F.when(y > 0, 2 * y / (s["w0"] + root)).otherwise(0.0))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return (
-        placed.select(*own, "n_tokens", "epoch", "position")
-        .repartitionById(parts, F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col("position") * parts))).cast("int"))
-        .sortWithinPartitions("position", "source", "doc_id", "epoch")
+        placed.select(*own, "n_tokens", "epoch", "_mix_at")
+        .repartitionById(parts, F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col("_mix_at") * parts))).cast("int"))
+        .sortWithinPartitions("_mix_at", "source", "doc_id", "epoch")
+        .select(*own, "n_tokens", "epoch", F.round("_mix_at", 9).alias("position"))  # sorted by all its digits
     )
 
 
