@@ -5,12 +5,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(name).to_pylist()
 
 
+def place_of(df: DataFrame, name: str, needed: bool = True) -> int | None:
+    """Where a column is, whatever the case of its name."""
+    found = [k for k, c in enumerate(df.columns) if c.lower() == name]
+    if not found and needed:
+        raise ValueError(f"no column {name} among {df.columns}")
+    return found[0] if found else None
+
+
+def texts_at(batch: pa.RecordBatch, at: int) -> list[str | None]:
+    """A column as texts, whatever its type."""
+    column = batch.column(at)
+    return (column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())).to_pylist()
+
+
 def take_ids(column: pa.Array, rows) -> pa.Array:
     """The ids of these rows; nulls stay null and large integers exact."""
     return column.take(pa.array(np.asarray(rows, np.int64)))

@@ -5,8 +5,8 @@ Every benchmark text (questions and answers alike) is normalised to lower-case w
 have a fixed size, whatever the corpus). A document is normalised the same way while each kept character remembers its
 place, scanned once, and every hit is mapped back to the original text. Narrow: no shuffle, one pass.
 
-Defined results: a null or empty document has no hits; a null, empty or under ``min_words`` item is not looked for, since
-a phrase that short can't tell a leak; items with one text are all reported; repeated documents are reported row by row;
+Defined results: a null or empty document has no hits; a null or empty item is not looked for, nor one of
+fewer words than a caller asks for; items with one text are all reported; repeated documents are reported row by row;
 a null id, of a document or an item, is reported as null, and items without an id are one item. Other columns of either table are ignored.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, take_ids, texts_of
+from siltbed.llm.arrow import batch_of, place_of, take_ids, texts_at, texts_of
 from siltbed.llm.text import _tables, chunks, code_points, word_list
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("passage", pa.string())])
@@ -86,8 +86,11 @@ def scan(texts: list[str | None], automaton) -> list[tuple[int, int | None, int,
     return [(doc, item, b, e) for (doc, item), runs in sorted(hits.items(), key=lambda x: _order(x[0])) for b, e in runs]
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = 13, min_words: int = 5) -> DataFrame:
-    """One row for each passage of a benchmark item that a document holds: doc_id, item_id, start, end, passage."""
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = 13, min_words: int = 1) -> DataFrame:
+    """One row for each passage of a benchmark item that a document holds: doc_id, item_id, start, end, passage.
+
+    Items of fewer than ``min_words`` words are not looked for; by default all are.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     found = patterns(sorted(((r[0], r[1]) for r in items.distinct().collect()), key=_order), gram, min_words)
     shared = docs.sparkSession.sparkContext.broadcast(found)
@@ -105,16 +108,19 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = 13,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, DDL)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, gram: int = 13, min_words: int = 5) -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns, judged row by row in one narrow pass."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int, gram: int = 13) -> DataFrame:
+    """The documents that hold no benchmark passage, with all their columns, judged row by row in one narrow pass.
+
+    ``min_words`` is the caller's to choose: an item of fewer words, such as an answer of one, tells no leak by itself.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     shared = docs.sparkSession.sparkContext.broadcast(patterns(sorted(((r[0], r[1]) for r in items.distinct().collect()), key=_order), gram, min_words))
-    at = docs.columns.index("text")
+    at = place_of(docs, "text")
 
     def keep(batches):
         automaton = build(shared.value) if shared.value else None
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = texts_at(batch, at)
             clean = np.ones(len(texts), bool)
             for a, b in chunks(texts) if automaton else ():
                 for hit in scan(texts[a:b], automaton):
@@ -122,3 +128,25 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, gram: int = 13, min_w
             yield batch.filter(pa.array(clean))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+_WORD = r"[\p{L}\p{N}_]+"
+_OTHER = r"[^\p{L}\p{N}_]+"
+
+SQL = f"""
+with d as (select row_number() over () as rid, doc_id, text from documents where text is not null),
+t as (select rid, doc_id, unnest(x) as t, unnest(range(len(x))) as i from (select rid, doc_id, regexp_extract_all(text, '{_WORD}|{_OTHER}') as x from d)),
+o as (select *, (sum(length(t)) over (partition by rid order by i) - length(t))::bigint as b from t),
+w as (select rid, doc_id, lower(t) as w, b, b + length(t) as e, row_number() over (partition by rid order by i) as k from o where regexp_full_match(t, '{_WORD}')),
+l as (select rid, any_value(doc_id) as doc_id, list(w order by k) as w, list(b order by k) as b, list(e order by k) as e from w group by rid),
+items as (select distinct item_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x)) as w from benchmark where text is not null),
+grams as (select distinct item_id, least(len(w), 13) as m, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') as gram
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as k from items where len(w) > 0)),
+windows as (select rid, doc_id, m, b[k] as b, e[k + m - 1] as e, array_to_string(w[k : k + m - 1], ' ') as gram
+  from (select l.*, m, unnest(range(1, len(w) - m + 2)) as k from l, (select distinct m from grams))),
+hits as (select rid, doc_id, item_id, b, e from windows join grams using (m, gram)),
+runs as (select *, coalesce(b > max(e) over (partition by rid, item_id order by b, e rows between unbounded preceding and 1 preceding), true) as fresh from hits),
+numbered as (select *, sum(fresh::int) over (partition by rid, item_id order by b, e rows unbounded preceding) as run from runs),
+spans as (select rid, item_id, run, min(b) as b, max(e) as e from numbered group by rid, item_id, run)
+select doc_id, item_id, b as start, e as "end", text[b + 1 : e] as passage from spans join d using (rid)
+"""
