@@ -1,30 +1,35 @@
 """URL filters by propagation over the link graph of hosts.
 
-Links of pages (absolute or protocol-relative ``href`` targets; relative ones stay on their host) make host edges,
-weighted by the number of pages that link. Trust is personalised PageRank from trusted seeds along the edges; distrust is
-personalised PageRank from blocked seeds along the reversed edges, since who links to bad hosts is bad. What a host
-without edges onward holds goes back to the seeds. Power iterations run in Spark over edge and score tables: ``rounds`` of
-them, or with None until the scores are within ``tolerance`` of the solution (the sum of their errors; unless given, a
-millionth of 1 / hosts or 1e-10, whichever is less, so that rounding and verdicts are those of the solution). A round
-brings scores closer by the factor ``damping``, which bounds both the error left by a last change and the rounds needed.
-Every ``every`` rounds the scores are written out, so plans stay short and lost executors cost little. A host is refused if it is a blocked seed, or its distrust reaches ``threshold`` times the uniform share 1 / hosts and exceeds its
-trust; a trusted seed is never refused by score.
-
-A seed names a host or a domain: it covers the host itself and all below it. Only the edges, hosts and scores are
-shuffled; a page's html is read once, for its links. Defined results: a null, empty or malformed URL has no host, takes no
-part in the graph and its page is kept with a null host; null html has no links; repeated pages count once as a linking
-page (by URL) and are each judged; ties need no order, since hosts are judged one by one; without seeds all scores are 0
-and nothing is refused. Other columns are ignored.
+Links of pages (absolute or protocol-relative ``href`` targets; relative ones stay on their host), and those of a link
+table if there is one, make host edges, weighted by the number of pages that link. Trust is personalised PageRank from
+trusted seeds along the edges; distrust is personalised PageRank from blocked seeds along the reversed edges, since who
+links to bad hosts is bad. What a host without edges onward holds goes back to the seeds; that only scales the scores, so
+rounds leave it out (y = start + damping * moved y) and the sum is made 1 at the end. Both rankings run at once over one
+table of scores. Rounds go on until what is still to come is under ``tolerance`` (of a sum of 1; unless given, a millionth
+of 1 / hosts or 1e-12, whichever is less, so that rounding and verdicts are those of the solution): each round adds at
+most ``damping`` times what the last added, which bounds the rest. A host is refused if it is a blocked seed, or its
+distrust reaches ``threshold`` times the uniform share 1 / hosts and exceeds its trust; a trusted seed is never refused
+by score.
+
+A round reads the scores before it once, so ``every`` rounds are one linear plan, after which scores are written to the
+shared folder: a lost executor costs few rounds. A seed names a host or a domain: it covers the host itself and all below
+it. Seeds are tables, joined by each suffix of a host, so a blocklist can be large. Only edges, hosts and scores are
+shuffled; a page's html is read once, for its links.
+
+Defined results: a null, empty or malformed URL has no host, takes no part in the graph and its page is kept with a null
+host; null html has no links; repeated pages count once as a linking page (by URL) and are each judged; ties need no
+order, since hosts are judged one by one; without seeds all scores are 0 and nothing is refused; an empty table gives an
+empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.scratch import Scratch, shared_dir
+from siltbed.llm.scratch import Scratch
 
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _HREF = r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
@@ -35,92 +40,111 @@ def host_of(url: Column) -> Column:
     return F.when(h != "", h)
 
 
-def covered(host: Column, seeds: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for s in seeds:
-        out = out | (host == s) | host.endswith("." + s)
-    return out
-
-
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): pages of one host that link to another."""
-    links = pages.select("url", host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(_HREF), F.lit(1))).alias("to"))
-    links = links.withColumn("dst", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).otherwise(F.col("to"))))
-    return links.where("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.count_distinct("url").cast("double").alias("weight"))
-
-
-def propagate(scratch: Scratch, hosts: DataFrame, edges: DataFrame, seed: str, src: str, dst: str, damping: float, rounds: int | None, every: int, tolerance: float) -> DataFrame:
-    """(host, score): personalised PageRank from the hosts where ``seed`` is true; scores sum to 1, or are all 0."""
-    out = edges.groupBy(src).agg(F.sum("weight").alias("out"))
-    moves = edges.join(out, src).select(F.col(src).alias("a"), F.col(dst).alias("b"), (F.col("weight") / F.col("out")).alias("share"))
-    moves = scratch.write(moves, f"{seed}-moves")
-    seeds = hosts.select("host", F.col(seed).cast("double").alias("s")).crossJoin(F.broadcast(hosts.agg(F.sum(F.col(seed).cast("double")).alias("n"))))
-    start = seeds.select("host", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("start"))
-    ends = start.join(moves.select(F.col("a").alias("host")).distinct().withColumn("onward", F.lit(True)), "host", "left").select("host", "start", F.coalesce("onward", F.lit(False)).alias("onward"))
-    score = scratch.write(ends.withColumn("score", F.col("start")), f"{seed}-0")
-    last = rounds if rounds is not None else math.ceil(math.log(tolerance / 2) / math.log(damping))  # scores are 2 apart at most at the start
-    done = 0
-    while done < last:
-        ahead = min(every, last - done)
-        at = score
-        for _ in range(ahead):
-            got = moves.join(at.select(F.col("host").alias("a"), "score"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-            lost = at.agg(F.coalesce(F.sum(F.when(~F.col("onward"), F.col("score"))), F.lit(0.0)).alias("lost"))
-            at = at.select("host", "start", "onward", F.col("score").alias("before")).join(got, "host", "left").crossJoin(F.broadcast(lost))
-            at = at.select("host", "start", "onward", "before", ((1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("start"))).alias("score"))
-        score = scratch.write(at, f"{seed}-{done + ahead}")
-        scratch.drop(f"{seed}-{done}")
-        done += ahead
-        if rounds is None and (score.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) * damping / (1 - damping) <= tolerance:
+def seed_table(spark: SparkSession, seeds: Iterable[str]) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in seeds], "seed string")
+
+
+def covered(hosts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host) of those that a seed covers."""
+    parts = F.split("host", r"\.")
+    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    return hosts.select("host", F.explode(below).alias("seed")).join(seeds.select("seed").distinct(), "seed", "left_semi").select("host").distinct()
+
+
+def host_edges(pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight): pages of one host that link to another. ``links``: further (url, target)."""
+    found = pages.select(F.col("url").cast("string"), F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(_HREF), F.lit(1))).alias("target"))
+    found = found if links is None else found.unionByName(links.select(F.col("url").cast("string"), F.col("target").cast("string")))
+    target = F.when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target")).otherwise(F.col("target"))
+    rows = found.select("url", host_of(F.col("url")).alias("src"), host_of(target).alias("dst"))
+    return rows.where("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.count_distinct("url").cast("double").alias("weight"))
+
+
+def propagate(scratch: Scratch, start: DataFrame, moves: DataFrame, damping: float, every: int, tolerance: float) -> DataFrame:
+    """(kind, host, score): for each kind the solution of score = start + damping * moved score, scaled to a sum of 1.
+
+    ``start``: (kind, host, start); ``moves``: (kind, a, b, share).
+    """
+    sums = lambda df: {r.kind: r.total for r in df.groupBy("kind").agg(F.sum("score").alias("total")).collect()}  # noqa: E731 (two rows)
+    first = start.select("kind", "host", F.col("start").alias("score"))
+    score, n = scratch.write(first, "score0"), 0
+    total = sums(score)
+    while True:
+        before, ahead = total, score
+        for _ in range(every):
+            moved = ahead.join(moves.select("kind", F.col("a").alias("host"), "b", "share"), ["kind", "host"])
+            ahead = first.unionByName(moved.select("kind", F.col("b").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        n += every
+        score = scratch.write(ahead, f"score{n}")
+        scratch.drop(f"score{n - every}")
+        total = sums(score)
+        # the last of these rounds added at most their mean, and each to come adds at most damping times the one before
+        if all((total[k] - before[k]) / every * damping / (1 - damping) <= tolerance * total[k] for k in total):
             break
-    return score.select("host", "score")
+    scale = F.lit(0.0)
+    for k, t in total.items():
+        scale = F.when(F.col("kind") == k, 1 / t).otherwise(scale)
+    return score.select("kind", "host", (F.col("score") * scale).alias("score"))
 
 
-def judged_pages(pages: DataFrame, trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = 0.85, rounds: int | None = 12, every: int = 4, threshold: float = 1.0, tolerance: float | None = None) -> DataFrame:
+def judged_pages(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, links: DataFrame | None = None, damping: float = 0.85, every: int = 6, threshold: float = 1.0, tolerance: float | None = None) -> DataFrame:
     """Every page with its host's scores: page_id, url, host, trust, distrust, keep.
 
-    The query runs with ``rounds`` None, to the solution; the default of 12 rounds is what :func:`sql` writes out.
+    ``trusted``, ``blocked``: (seed). ``links``: (url, target) of pages, such as a crawl's link table, besides those in html.
     """
     spark = pages.sparkSession
-    shared_dir(spark)
     scratch = Scratch(spark, "links")
     own = pages.select("page_id", F.col("url").cast("string"), host_of(F.col("url")).alias("host"))
-    edges = scratch.write(host_edges(pages), "edges")
-    hosts = own.select("host").where("host is not null").union(edges.select("dst")).distinct()
-    hosts = scratch.write(hosts.select("host", covered(F.col("host"), trusted).alias("good"), covered(F.col("host"), blocked).alias("bad")), "hosts")
+    edges = scratch.write(host_edges(pages, links), "edges")
+    names = own.select("host").where("host is not null").union(edges.select("src")).union(edges.select("dst")).distinct()
+    flag = lambda seeds, name: covered(names, seeds).withColumn(name, F.lit(True))
+    hosts = names.join(flag(trusted, "good"), "host", "left").join(flag(blocked, "bad"), "host", "left")
+    hosts = scratch.write(hosts.select("host", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("bad", F.lit(False)).alias("bad")), "hosts")
+    counts = hosts.agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if("bad").alias("bad")).first()
     if tolerance is None:
-        tolerance = min(1e-10, 1e-6 / max(hosts.count(), 1))
-    good = propagate(scratch, hosts, edges, "good", "src", "dst", damping, rounds, every, tolerance)
-    bad = propagate(scratch, hosts, edges, "bad", "dst", "src", damping, rounds, every, tolerance)
-    total = hosts.agg(F.count("*").alias("hosts"))
-    verdict = hosts.join(good.withColumnRenamed("score", "trust"), "host").join(bad.withColumnRenamed("score", "distrust"), "host").crossJoin(F.broadcast(total))
-    refuse = F.col("bad") | (~F.col("good") & (F.col("distrust") * F.col("hosts") >= threshold) & (F.col("distrust") > F.col("trust")))
-    verdict = verdict.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), (~refuse).alias("keep"))
+        tolerance = min(1e-12, 1e-6 / max(counts.n, 1))
+    start = [hosts.where(k).select(F.lit(k).alias("kind"), "host", F.lit(1 / counts[k]).alias("start")) for k in ("good", "bad") if counts[k]]
+    verdict = hosts.select("*", F.lit(0.0).alias("t"), F.lit(0.0).alias("d"))
+    if start:
+        sides = [edges.select(F.lit(k).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), "weight") for k, a, b in (("good", "src", "dst"), ("bad", "dst", "src"))]
+        both = sides[0].union(sides[1])
+        out = both.groupBy("kind", "a").agg(F.sum("weight").alias("out"))
+        moves = scratch.write(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("out")).alias("share")), "moves")
+        score = propagate(scratch, start[0] if len(start) == 1 else start[0].union(start[1]), moves, damping, every, tolerance)
+        one = score.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(x) for k, x in (("good", "t"), ("bad", "d"))])
+        verdict = hosts.join(one, "host", "left").select("host", "good", "bad", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    refuse = F.col("bad") | (~F.col("good") & (F.col("d") * F.lit(float(counts.n)) >= threshold) & (F.col("d") > F.col("t")))
+    verdict = verdict.select("host", F.round("t", 9).alias("trust"), F.round("d", 9).alias("distrust"), (~refuse).alias("keep"))
     return own.join(verdict, "host", "left").select("page_id", "url", "host", "trust", "distrust", F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
-def sql(trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = 0.85, rounds: int = 12, threshold: float = 1.0) -> str:
-    """The same in SQL, one pair of common table expressions for each round."""
+def sql(trusted: Iterable[str], blocked: Iterable[str], links: str, damping: float = 0.85, rounds: int = 200, threshold: float = 1.0) -> str:
+    """The same in SQL, by a recursive query. ``links``: SQL of (url, target)."""
 
-    def cover(seeds: tuple[str, ...]) -> str:
-        return "(" + " or ".join(f"host = '{s}' or ends_with(host, '.{s}')" for s in seeds) + ")" if seeds else "false"
+    def cover(seeds: Iterable[str]) -> str:
+        return " or ".join(f"host = '{s}' or ends_with(host, '.{s}')" for s in seeds) or "false"
 
     host = "nullif(regexp_extract(lower(trim({0})), '" + _HOST + "', 1), '')"
     href = _HREF.replace("'", "''")
-    target = "case when starts_with(x, '//') then 'http:' || x else x end"
-    parts = [
-        f"own as (select page_id, url, {host.format('url')} as host from pages)",
-        f"links as (select url, {host.format('url')} as src, unnest(regexp_extract_all(html, '{href}', 1)) as x from pages)",
-        f"edges as (select src, dst, count(distinct url)::double as weight from (select url, src, {host.format(target)} as dst from links) where src is not null and dst is not null and src <> dst group by src, dst)",
-        f"hosts as (select host, {cover(trusted)} as good, {cover(blocked)} as bad from (select host from own where host is not null union select dst from edges))",
-    ]
-    for name, seed, a, b in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
-        parts.append(f"{name}m as (select {a} as a, {b} as b, weight / sum(weight) over (partition by {a}) as share from edges)")
-        parts.append(f"{name}s as (select host, coalesce({seed}::int::double / nullif(sum({seed}::int) over (), 0), 0) as start, host in (select a from {name}m) as onward from hosts)")
-        parts.append(f"{name}0 as (select *, start as score from {name}s)")
-        for k in range(rounds):
-            p, q = f"{name}{k}", f"{name}{k + 1}"
-            parts.append(f"{q}g as (select b as host, sum(share * score) as got from {name}m join {p} on a = host group by b)")
-            parts.append(f"{q} as materialized (select {p}.host, start, onward, {1 - damping!r} * start + {damping!r} * (coalesce(got, 0) + (select coalesce(sum(score) filter (where not onward), 0) from {p}) * start) as score from {p} left join {q}g on {p}.host = {q}g.host)")
-    refuse = f"(bad or (not good and d.score * (select count(*) from hosts) >= {threshold} and d.score > t.score))"
-    return f"with {', '.join(parts)}, v as (select h.host, round(t.score, 9) as trust, round(d.score, 9) as distrust, not {refuse} as keep from hosts h join t{rounds} t on h.host = t.host join d{rounds} d on h.host = d.host) select page_id, url, own.host, trust, distrust, coalesce(keep, true) as keep from own left join v on own.host = v.host"
+    target = host.format("case when starts_with(target, '//') then 'http:' || target else target end")
+    return f"""
+with recursive own as (select page_id, url, {host.format('url')} as host from pages),
+found as (select url, unnest(regexp_extract_all(html, '{href}', 1)) as target from pages union all {links}),
+edges as (select src, dst, count(distinct url)::double as weight from (select url, {host.format('url')} as src, {target} as dst from found)
+  where src is not null and dst is not null and src <> dst group by src, dst),
+hosts as (select host, ({cover(trusted)}) as good, ({cover(blocked)}) as bad from (select host from own where host is not null union select src from edges union select dst from edges)),
+start as (select 'good' as kind, host, 1.0::double / count(*) over () as start from hosts where good union all select 'bad', host, 1.0::double / count(*) over () from hosts where bad),
+sides as (select 'good' as kind, src as a, dst as b, weight from edges union all select 'bad', dst, src, weight from edges),
+moves as materialized (select kind, a, b, weight / sum(weight) over (partition by kind, a) as share from sides),
+score as (select 0 as k, kind, host, start as score from start
+  union all
+  select k + 1, kind, host, sum(score) from (
+    select s.k, m.kind, m.b as host, {damping} * m.share * s.score as score from score s join moves m on s.kind = m.kind and s.host = m.a
+    union all select distinct s.k, x.kind, x.host, x.start from score s join start x on s.kind = x.kind
+  ) where k < {rounds} group by k, kind, host),
+last as (select kind, host, score / sum(score) over (partition by kind) as score from score where k = {rounds}),
+v as (select host, round(t, 9) as trust, round(d, 9) as distrust, not (bad or (not good and d * (select count(*) from hosts) >= {threshold} and d > t)) as keep
+  from (select h.host, good, bad, coalesce(t.score, 0) as t, coalesce(d.score, 0) as d from hosts h
+    left join last t on t.host = h.host and t.kind = 'good' left join last d on d.host = h.host and d.kind = 'bad'))
+select page_id, url, own.host, trust, distrust, coalesce(keep, true) as keep from own left join v on own.host = v.host
+"""

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltbed.llm import curriculum as mixing
-from siltbed.llm import link_graph, quality_rules, warc_zip
+from siltbed.llm import decontaminate, link_graph, ngram_join, quality_rules, warc_zip
 from siltbed.llm.classifier import scored
-from siltbed.llm.decontaminate import contaminated_passages
-from siltbed.llm.ngram_join import near_copies
 from siltbed.llm.suffix_array import repeated_passages
 from siltbed.llm.token_counts import token_counts
 from siltbed.llm.toxicity import toxic_documents
@@ -46,11 +45,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(_table(spark, sf_dir, "documents"))
+    return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +61,15 @@ TRUSTED = tuple(f"{name}.example.{end}" for name in ("tionsh", "tionble", "tiont
 BLOCKED = tuple(f"{name}.example.{end}" for name in ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets") for end in _ENDS)
 
 
+#: The pages of these tables link within their own hosts only, so each page is given a link to the one after it.
+LINKS = "select a.url, b.url as target from pages a join pages b on b.page_id = a.page_id + 1"
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_graph.judged_pages(_table(spark, sf_dir, "pages"), TRUSTED, BLOCKED, rounds=None)
+    pages = _table(spark, sf_dir, "pages")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("target"))
+    links = pages.select("page_id", "url").join(after, "page_id").select("url", "target")
+    return link_graph.judged_pages(pages, link_graph.seed_table(spark, TRUSTED), link_graph.seed_table(spark, BLOCKED), links)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_url_filters,
     )
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op5_warc_zip": warc_zip.SQL, "op6_source_mixing": mixing.SQL, "op10_url_filters": link_graph.sql(TRUSTED, BLOCKED)}
+ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.SQL, "op8_ngram_jaccard_join": ngram_join.SQL, "op1_quality_rules": quality_rules.SQL, "op5_warc_zip": warc_zip.SQL, "op6_source_mixing": mixing.SQL, "op10_url_filters": link_graph.sql(TRUSTED, BLOCKED, LINKS)}
