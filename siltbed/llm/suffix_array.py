@@ -2,7 +2,7 @@
 
 Only text that can hold a repeat is sorted, by an exact filter: winnowing selects, of any ``min_words`` neighbouring
 words, a gram at a place that depends on the words alone, so both copies of a passage have it; around every gram that
-occurs once in the corpus nothing can repeat. What is left are segments of words; equal segments are one, with many
+occurs once in the corpus nothing can repeat. (``filtered=False`` sorts all text instead; the result is the same.) What is left are segments of words; equal segments are one, with many
 occurrences. Every segment ends in a terminator of its own, and segments live in blocks of about ``BLOCK_WORDS`` words.
 
 The suffix array is built by the difference-cover algorithm over these blocks. Of each segment the triples at places 1
@@ -11,7 +11,7 @@ of a string two thirds as long, and so on. A name of level k stands for 3^(k+1)
 of all triples where they tell apart ``min_words`` words. Going back up, places at 0 mod 3 are
 ordered by (word, rank of the next place) and merged with the rest by comparing (word, rank) to places 1 mod 3 and (word,
 word, rank) to places 2 mod 3, within ranges of the leading words. At level 0 neighbours in suffix order are compared by
-their first ``min_words`` words: a run of equal ones is a repeated window. The first of a run, in the order of segments,
+a 64-bit fingerprint of their first ``min_words`` words: a run of equal ones is a repeated window. The first of a run, in the order of segments,
 stays; the others are copies, and every word that a copy covers is one (but where a copy overlaps its own first, as in a
 phrase said over and over, the words of the first stay). All that moves are packed blocks of integers; levels are tables in the shared folder and are
 dropped once used, and the driver's garbage is collected between levels so that old shuffle files go.
@@ -28,18 +28,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, pack, take_ids, texts_of, unpack
+from siltbed.llm.arrow import batch_of, pack, place_of, take_ids, texts_at, texts_of, unpack
 from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_hashes, winnow, words
 
 BLOCK_WORDS = 250_000
-BROADCAST_BYTES = 48 << 20
 _WORD_BITS = np.uint64((1 << 40) - 1)
 _END = np.uint64(1 << 63)
 _DOCS = ("_sa_uid", "text")
+_SEGMENT = "_sa_uid long, start int, n int, key binary, toks binary"
 
 _KEYS = ("k0", "k1", "k2", "k3", "k4", "k5")
 _SORT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), *[(k, pa.binary()) for k in _KEYS]])
@@ -135,17 +135,24 @@ class Sorter:
         self.scratch, self.parts, self.n = scratch, max(1, 2 * parts), 0
 
     def splitters(self, blocks: DataFrame, keys_of, lead: int) -> list[tuple[int, ...]]:
-        """Cuts from a bounded sample of the keys, as any range partitioning takes; they balance, and decide nothing."""
-        each = max(8, 40 * self.parts // max(1, blocks.count()))
+        """Cuts from a sample of 40 keys a part, as any range partitioning takes; they balance, and decide nothing.
 
-        def some(batches):
+        Of more blocks than that a sample is taken too, by a hash, so that what the driver gets depends on the parts alone.
+        """
+        some, count = blocks.select("block", "toks", "ends"), max(1, blocks.count())
+        most = 5 * self.parts
+        if count > most:
+            some = some.where(F.pmod(F.xxhash64("block"), F.lit(1 << 30)) < F.lit(int(most / count * (1 << 30))))
+        each = max(8, 40 * self.parts // min(count, most))
+
+        def pick(batches):
             for batch in batches:
                 for row in batch.to_pylist():
                     _, keys = keys_of(row)
-                    pick = np.linspace(0, len(keys[0]) - 1, min(each, len(keys[0]))).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"k": [np.stack([k[pick] for k in keys[:lead]], 1).tobytes()]})
+                    at = np.linspace(0, len(keys[0]) - 1, min(each, len(keys[0]))).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"k": [np.stack([k[at] for k in keys[:lead]], 1).tobytes()]})
 
-        got = [np.frombuffer(bytes(r[0]), np.uint64).reshape(-1, lead) for r in blocks.mapInArrow(some, "k binary").collect()]
+        got = [np.frombuffer(bytes(r[0]), np.uint64).reshape(-1, lead) for r in some.mapInArrow(pick, "k binary").collect()]
         found = sorted(map(tuple, np.concatenate(got).tolist())) if got else []
         return sorted({found[len(found) * k // self.parts] for k in range(1, self.parts)}) if found else []
 
@@ -262,7 +269,7 @@ def _merge_keys(row: dict, min_words: int | None):
     keys = [lay.toks, t1, ranks * np.uint64(4) + cls, lay.ahead(ranks, 1) * (cls < 2), lay.ahead(ranks, 2) * (cls != 1)]
     if min_words:
         window = np.zeros(len(lay.toks), np.uint64)
-        whole = gram_hashes(lay.toks, min_words) >> np.uint64(24)
+        whole = gram_hashes(lay.toks, min_words)
         window[: len(whole)] = np.maximum(whole, np.uint64(1))
         window[lay.left <= min_words] = 0  # the terminator is none of the words
         keys.append(window)
@@ -359,11 +366,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("_sa_uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def _joined(docs: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """docs with what was found of them; broadcast if that is small, else by a shuffle."""
-    return docs.join(F.broadcast(found) if scratch.bytes(name) < BROADCAST_BYTES else found, "_sa_uid")
-
-
 def _runs_of(mask: np.ndarray) -> np.ndarray:
     """[begin, end) of each run of true."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
@@ -377,8 +379,11 @@ def _cover(places: np.ndarray, size: int, width: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame:
-    """(_sa_uid, copies, firsts): of each document with repeats, the word ranges, as flat arrays of begins and ends."""
+def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50, filtered: bool = True) -> DataFrame:
+    """(_sa_uid, copies, firsts): of each document with repeats, the word ranges, as flat arrays of begins and ends.
+
+    Without ``filtered`` the suffix array is built over whole documents.
+    """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     k = (min_words + 1) // 2
@@ -393,13 +398,19 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
                 yield batch_of(schema, gram.view(np.int64), uid[a:b][doc], place.astype(np.int32))
 
     own = _keyed(docs)
-    grams = own.select(*_DOCS).mapInArrow(fingerprints, "gram long, _sa_uid long, place int")
-    twice = grams.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1")
-    spots = scratch.write(twice.groupBy("_sa_uid").agg(F.collect_set("place").alias("places")), "spots")
-    collect_garbage(spark)
+
+    def filtered_spots() -> DataFrame:
+        """(_sa_uid, places) of the fingerprints that occur twice; a hot one is counted by parts and joined by parts."""
+        grams = scratch.write(own.select(*_DOCS).mapInArrow(fingerprints, "gram long, _sa_uid long, place int"), "grams")
+        twice = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+        spots = scratch.write(grams.join(twice, "gram").groupBy("_sa_uid").agg(F.collect_set("place").alias("places")), "spots")
+        scratch.drop("grams")
+        collect_garbage(spark)
+        return spots
+
+    segment = pa.schema([("_sa_uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("toks", pa.binary())])
 
     def segments(batches):
-        schema = pa.schema([("_sa_uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("toks", pa.binary())])
         for batch in batches:
             texts, uid, places = texts_of(batch, "text"), batch.column("_sa_uid").to_pylist(), batch.column("places")
             for a, b in chunks(texts):
@@ -411,9 +422,23 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
                     for s, e in _runs_of(_cover(at, len(flat), 2 * min_words - k)):
                         rows.append((uid[a + d], s, e - s, xxhash.xxh128_digest(flat[s:e].tobytes()), pack(flat[s:e])))
                 if rows:
-                    yield batch_of(schema, *map(list, zip(*rows)))
+                    yield batch_of(segment, *map(list, zip(*rows)))
+
+    def whole(batches):
+        for batch in batches:
+            texts, uid = texts_of(batch, "text"), batch.column("_sa_uid").to_pylist()
+            for a, b in chunks(texts):
+                found = words(texts[a:b])
+                flat = [found.hashes[found.offsets[d] : found.offsets[d + 1]] & _WORD_BITS for d in range(b - a)]
+                rows = [(uid[a + d], 0, len(f), uid[a + d].to_bytes(16, "little", signed=True), pack(f)) for d, f in enumerate(flat) if len(f) >= min_words]
+                if rows:
+                    yield batch_of(segment, *map(list, zip(*rows)))
 
-    parts_of = scratch.write(_joined(own, spots, scratch, "spots").select(*_DOCS, "places").mapInArrow(segments, "_sa_uid long, start int, n int, key binary, toks binary"), "segments")
+    if filtered:
+        pieces = own.join(filtered_spots(), "_sa_uid").select(*_DOCS, "places").mapInArrow(segments, _SEGMENT)
+    else:
+        pieces = own.select(*_DOCS).mapInArrow(whole, _SEGMENT)
+    parts_of = scratch.write(pieces, "segments")
     scratch.drop("spots")
     occurs = parts_of.select("_sa_uid", "start", "n", "key").distinct()
 
@@ -467,13 +492,13 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
     spans = table.select("block", "ends", "keys").groupBy("block").cogroup(runs.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(judged, "key binary, firsts array<int>, copies array<int>")
     spans = scratch.write(spans, "spans")
     scratch.drop("blocks")
-    rank = Window.partitionBy("key").orderBy("_sa_uid", "start")
-    each = occurs.withColumn("nth", F.row_number().over(rank)).withColumn("many", F.count("*").over(Window.partitionBy("key")))
-    each = each.join(spans, "key", "left").where("many > 1 or firsts is not null")
-    none, whole = F.array().cast("array<int>"), F.array(F.lit(0), F.col("n"))
+    equal = occurs.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("_sa_uid", "start")).alias("head"))
+    each = occurs.join(equal.join(spans, "key", "left").where("many > 1 or firsts is not null"), "key")
+    later = F.struct("_sa_uid", "start") != F.col("head")
+    none, entire = F.array().cast("array<int>"), F.array(F.lit(0), F.col("n"))
     # of equal segments the first stands for all; in the others every word is a copy
-    copies = F.when(F.col("nth") > 1, whole).otherwise(F.coalesce("copies", none))
-    firsts = F.when(F.col("nth") > 1, none).when(F.col("many") > 1, whole).otherwise(F.coalesce("firsts", none))
+    copies = F.when(later, entire).otherwise(F.coalesce("copies", none))
+    firsts = F.when(later, none).when(F.col("many") > 1, entire).otherwise(F.coalesce("firsts", none))
     moved = each.select("_sa_uid", F.transform(copies, lambda x: x + F.col("start")).alias("copies"), F.transform(firsts, lambda x: x + F.col("start")).alias("firsts"))
     result = scratch.write(moved.groupBy("_sa_uid").agg(F.flatten(F.collect_list("copies")).alias("copies"), F.flatten(F.collect_list("firsts")).alias("firsts")), "repeats")
     scratch.drop("occurs", "spans", *[f"sorted{n}" for n in range(1, 30)])
@@ -494,10 +519,10 @@ def _masks(n: int, copies: list[int], firsts: list[int]) -> tuple[np.ndarray, np
 _SPAN = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("is_copy", pa.bool_())])
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, filtered: bool = True) -> DataFrame:
     """A row for each run of words of a document that repeats: doc_id, start, end (characters), n_words, is_copy."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    found = repeats(docs, scratch, min_words)
+    found = repeats(docs, scratch, min_words, filtered)
 
     def locate(batches):
         for batch in batches:
@@ -513,7 +538,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 at, *rest = zip(*rows)
                 yield batch_of(_SPAN, take_ids(batch.column("doc_id"), at), *map(list, rest))
 
-    return _joined(_keyed(docs), found, scratch, "repeats").select("doc_id", "text", "copies", "firsts").mapInArrow(locate, "doc_id long, start long, end long, n_words long, is_copy boolean")
+    return _keyed(docs).join(found, "_sa_uid").select("doc_id", "text", "copies", "firsts").mapInArrow(locate, "doc_id long, start long, end long, n_words long, is_copy boolean")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -523,18 +548,17 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     found = repeats(docs, scratch, min_words).where("size(copies) > 0")
-    small = scratch.bytes("repeats") < BROADCAST_BYTES
     names = docs.columns
     uid = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
     side = found.select(F.col("_sa_uid"), F.col("copies").alias("_sa_copies"), F.col("firsts").alias("_sa_firsts"))
     both = docs.withColumn("_sa_key", uid)
-    both = both.join(F.broadcast(side) if small else side, both["_sa_key"] == side["_sa_uid"], "left").select(*names, "_sa_copies", "_sa_firsts")
-    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    both = both.join(side, both["_sa_key"] == side["_sa_uid"], "left").select(*names, "_sa_copies", "_sa_firsts")
+    text_at, chars_at = place_of(docs, "text"), place_of(docs, "n_chars", False)
 
     def cut(batches):
         for batch in batches:
             copies, firsts = batch.column("_sa_copies").to_pylist(), batch.column("_sa_firsts").to_pylist()
-            texts = batch.column(text_at).to_pylist()
+            texts = texts_at(batch, text_at)
             keep = np.ones(len(texts), bool)
             changed = False
             for d in [i for i, c in enumerate(copies) if c]:
@@ -551,7 +575,7 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 texts[d] = "".join([*parts, texts[d][at:]])
             columns = [batch.column(i) for i in range(len(names))]
             if changed:
-                columns[text_at] = pa.array(texts, columns[text_at].type)
+                columns[text_at] = pa.array(texts, pa.string()).cast(columns[text_at].type)
                 if chars_at is not None:
                     count = [c if not g else len(t or "") for c, g, t in zip(columns[chars_at].to_pylist(), copies, texts)]
                     columns[chars_at] = pa.array(count, columns[chars_at].type)
