@@ -5,8 +5,8 @@ from __future__ import annotations
 
 import base64
 import gzip
-import io
 import random
+import re
 import zipfile
 from collections import Counter, defaultdict
 
@@ -15,7 +15,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltbed.llm import classifier, curriculum, decontaminate, link_graph, ngram_join, quality_rules, suffix_array, token_counts, toxicity, warc_zip
-from siltbed.llm.queries import BLOCKED, op10_url_filters
 from siltbed.llm.scratch import Scratch
 from siltbed.llm.text import word_list, words
 
@@ -79,6 +78,18 @@ def test_binomial_tail_is_exact():
     assert quality_rules.binomial_tail(5, 5, 0.3) == 1.0
 
 
+def test_order_statistics_against_sorting(spark):
+    r = np.random.default_rng(4)
+    values = {("en", "a"): r.normal(0, 1, 5000), ("en", "b"): np.zeros(700), ("?", "a"): r.integers(0, 4, 900) / 4.0}
+    d = spark.createDataFrame([(*k, float(v)) for k, own in values.items() for v in own], "stratum string, signal string, v double")
+    got = defaultdict(dict)
+    for x in quality_rules.order_statistics(d).collect():
+        assert x.n == len(values[x.stratum, x.signal])
+        got[x.stratum, x.signal] |= {rank: x.v for rank in range(x.before + 1, x.upto + 1)}
+    for k, own in values.items():
+        assert [got[k][n] for n in range(1, len(own) + 1)] == sorted(own)
+
+
 def test_quality_rules(spark, docs, empty, labels):
     assert quality_rules.accepted(docs, labels).count() == docs.count()  # too few labels certify nothing
     assert quality_rules.accepted(empty, labels).count() == 0
@@ -108,6 +119,17 @@ def test_token_counts_equal_encoding_whole_texts(spark, docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_of_a_token_that_every_document_holds(spark):
+    n = 5000
+    d = spark.createDataFrame([(k, f"the the {k}") for k in range(n)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_pre_tokens) for r in token_counts.token_counts(d.repartition(3)).collect()}
+    assert len(got) == n and all(got[k][1] == 3 for k in got)
+    assert all(got[k][0] == 2 + len(token_counts.encoder(token_counts.VOCABULARY).encode_ordinary(f" {k}")) for k in range(0, n, 50))
+    many = np.array([1, 8, 9, 5000, 5000])
+    places = {tuple(token_counts.salts(c, many)) for c in range(4000)}
+    assert len({p[0] for p in places}) == len({p[1] for p in places}) == 1 and len({p[2] for p in places}) == 2 and len({p[3] for p in places}) > 500
+
+
 # --- 3, 4 ----------------------------------------------------------------------------------------------------------
 
 
@@ -149,6 +171,102 @@ def test_toxicity_finds_sentences(spark, docs, empty, labels):
     toxicity.toxic_documents(docs, labels).collect()
 
 
+def _bags(texts, labels):
+    out = []
+    for t, y in zip(texts, labels):
+        b = toxicity.Bags([t])
+        out.append((b.features, np.cumsum(np.isin(np.arange(len(b.owner)), b.first)) - 1, y))
+    return out
+
+
+def test_toxicity_gradient_by_finite_differences():
+    texts = [prose(k, 25) for k in range(6)] + ["", "one."]
+    data = toxicity.Sample(_bags(texts, [0, 1, 0, 1, 1, 0, 0, 1]))
+    r = np.random.default_rng(0)
+    w, b = r.normal(0, 0.3, len(data.used)), -1.0
+    gw, gb = data.gradient(w, b)
+    for k in r.choice(len(w), 12, replace=False):
+        step = np.zeros(len(w))
+        step[k] = 1e-5
+        assert gw[k] == pytest.approx((data.loss(w + step, b) - data.loss(w - step, b)) / 2e-5, abs=1e-7)
+    assert gb == pytest.approx((data.loss(w, b + 1e-5) - data.loss(w, b - 1e-5)) / 2e-5, abs=1e-7)
+
+
+def test_toxicity_scores_against_a_loop():
+    texts = [prose(k, 40) for k in range(5)] + [None, "", "...", "a! b? c"]
+    r = np.random.default_rng(1)
+    weights = r.normal(0, 1, 1 << toxicity.BITS)
+    p, whole = toxicity.Bags(texts).score(weights, -2.0)
+    at = 0
+    for k, t in enumerate(texts):
+        none = 1.0
+        for sentence in (x for x in re.split(r"[.!?\n\r…。！？]", t or "") if word_list(x)):
+            features = toxicity.Bags([sentence]).features
+            one = 1 / (1 + np.exp(2.0 - weights[features].sum()))
+            assert p[at] == pytest.approx(one)
+            none *= 1 - one
+            at += 1
+        assert whole[k] == pytest.approx(1 - none)
+    assert at == len(p)
+
+
+def _held_out(spark, column, table="sf0.1"):
+    """(documents, labels that train, truth of the others by id)."""
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    lab = spark.read.parquet(f"/root/testdata/{table}/labels.parquet").where(f"doc_id is not null and {column} is not null")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0
+    return docs.join(lab.select("doc_id"), "doc_id", "left_semi"), lab.where(half), {r.doc_id: r[column] for r in lab.where(~half).collect()}
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    docs, lab, truth = _held_out(spark, "toxic")
+    got = {r.doc_id for r in toxicity.toxic_documents(docs, lab).select("doc_id").collect()}
+    toxic, clean = {k for k, y in truth.items() if y == 1}, {k for k, y in truth.items() if y == 0}
+    assert len(got & toxic) >= 0.8 * len(toxic) and len(got & clean) <= 0.04 * len(clean)
+
+
+def test_classifier_gradient_by_finite_differences():
+    r = np.random.default_rng(0)
+    bag, y = np.repeat(np.arange(6), [1, 2, 3, 1, 4, 2]), np.array([0, 1, 0, 1, 1, 0], float)
+    x = r.normal(0, 1, (len(bag), 7))
+    m = {"W": r.normal(0, 0.5, (7, 4)), "b": r.normal(0, 0.5, 4), "V": r.normal(0, 0.5, (4, 3)), "U": r.normal(0, 0.5, (4, 3)), "w": r.normal(0, 0.5, 3), "c": r.normal(0, 0.5, 4), "c0": np.zeros(1), "mean": 0.0, "scale": 1.0}
+    balance = np.full(6, 1 / 6)
+
+    def loss(m):
+        s = classifier.forward(m, x, bag, 6)["score"]
+        return -(balance * np.where(y == 1, np.log(s), np.log(1 - s))).sum()
+
+    for name, g in classifier.gradients(m, x, bag, y, balance).items():
+        for at in list(np.ndindex(m[name].shape))[:10]:
+            up, down = ({**m, name: m[name].copy()} for _ in range(2))
+            up[name][at] += 1e-6
+            down[name][at] -= 1e-6
+            assert g[at] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-6)
+
+
+def test_classifier_scores_against_a_loop():
+    texts = [prose(k, 150) for k in range(4)] + [None, "", "x" * 2000]
+    r = np.random.default_rng(2)
+    n = classifier.SIZE
+    m = {"W": r.normal(0, 0.1, (n, 4)), "b": r.normal(0, 0.5, 4), "V": r.normal(0, 0.5, (4, 3)), "U": r.normal(0, 0.5, (4, 3)), "w": r.normal(0, 0.5, 3), "c": r.normal(0, 0.5, 4), "c0": np.zeros(1), "mean": np.zeros(n), "scale": np.ones(n)}
+    got = classifier._scores(m, texts)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for k, t in enumerate(texts):
+        x, _ = classifier.encode([t])
+        assert len(x) == max(1, -(-len(t or "") // classifier.PASSAGE))
+        h = [np.tanh(row @ m["W"] + m["b"]) for row in x]
+        e = np.array([(np.tanh(v @ m["V"]) * sig(v @ m["U"])) @ m["w"] for v in h])
+        a = np.exp(e) / np.exp(e).sum()
+        assert got[k] == pytest.approx(sig(sum(p * v for p, v in zip(a, h)) @ m["c"] + m["c0"][0]), abs=1e-5)
+
+
+def test_classifier_accepts_held_out_documents(spark):
+    docs, lab, truth = _held_out(spark, "quality")
+    kept = {r.doc_id for r in classifier.scored(docs, lab).collect()}
+    good, bad = {k for k, y in truth.items() if y == 1}, {k for k, y in truth.items() if y == 0}
+    assert len(kept & good) >= 0.97 * len(good) and len(kept & bad) <= 0.3 * len(bad)
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 
 
@@ -167,6 +285,37 @@ def test_warc_round_trip(spark, tmp_path, zip64, index):
     assert Counter(map(tuple, got)) == Counter(data)
 
 
+def _warc(kind, url, block, mime, **more):
+    head = [b"WARC/1.0", b"warc-type: " + kind, b"content-LENGTH: %d" % len(block)] + ([b"WARC-Target-URI: " + url] if url else []) + [b"Content-Type: " + mime]
+    return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("listed", [0, 2, 5])
+def test_warc_packages_of_other_tools(spark, tmp_path, listed):
+    """Two archives of one base name, an index that lists some records, and records that hold no page."""
+    body = "<p>é</p>".encode("latin-1")
+    chunked = b"%x\r\n%s\r\n3;x=1\r\nabc\r\n0\r\n\r\n" % (len(body), body)
+    records = [
+        _warc(b"warcinfo", b"", b"software: x", b"application/warc-fields"),
+        _warc(b"request", b"http://a/", b"GET / HTTP/1.1\r\n\r\n", b"application/http; msgtype=request"),
+        _warc(b"response", b"http://a/%20x", b"HTTP/1.1 200 OK\r\nCONTENT-type: text/html; charset=iso-8859-1\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, b"application/http; msgtype=response"),
+        _warc(b"response", b"<http://b/>", b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress("ü".encode()), b"application/http"),
+        _warc(b"resource", b"http://c/", b"\xff plain", b"text/plain"),
+    ]
+    lines, at = [], 0
+    for k, r in enumerate(records):
+        if k >= len(records) - listed:
+            lines.append(f"x 2020 {{\"offset\": \"{at}\", \"length\": \"{len(r)}\", \"filename\": \"a/data.warc.gz\"}}\n")
+        at += len(r)
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w") as z:
+        for folder in "ab":
+            z.writestr(f"archive/{folder}/data.warc.gz", b"".join(records))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("".join(lines).encode()))
+    got = warc_zip.read_packages(spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string")).collect()
+    want = [(None, "http://a/%20x", "<p>é</p>abc"), (None, "http://b/", "ü"), (None, "http://c/", "\ufffd plain")]
+    assert Counter(map(tuple, got)) == Counter(want * 2)
+
+
 def test_warc_empty_and_compressed(spark, tmp_path):
     assert warc_zip.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     with zipfile.ZipFile(tmp_path / "x.wacz", "w", zipfile.ZIP_DEFLATED) as z:
@@ -248,7 +397,7 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     want = set()
     for i, t in items:
         w = word_list(t)
-        if i is not None and len(w) >= 5:
+        if w:
             grams = {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))}
             for k, text in texts.items():
                 x = word_list(text)
@@ -257,11 +406,20 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     assert got == want and want
     for r in decontaminate.contaminated_passages(d, bench).collect():
         assert texts[r.doc_id][r.start : r.end] == r.passage
-    clean = decontaminate.clean_documents(d, bench)
+    clean = decontaminate.clean_documents(d, bench, min_words=5)
     assert {r.doc_id for r in clean.collect()} == set(texts) - {k for k, _ in want} and clean.columns == d.columns
-    assert decontaminate.clean_documents(docs, bench).count() == docs.count()
-    assert decontaminate.clean_documents(docs, bench.limit(0)).count() == docs.count()
-    assert decontaminate.clean_documents(empty, bench).count() == 0
+    assert decontaminate.clean_documents(docs, bench, min_words=5).count() == docs.count()
+    assert decontaminate.clean_documents(docs, bench.limit(0), min_words=1).count() == docs.count()
+    assert decontaminate.clean_documents(empty, bench, min_words=5).count() == 0
+
+
+def test_stages_find_the_text_whatever_its_name_or_type(spark):
+    d = spark.createDataFrame([(1, "x", 12345), (2, "y", None)], "doc_id long, TEXT string, N_Chars int").select("doc_id", F.col("N_Chars").alias("Text"), F.col("TEXT").alias("other"))
+    bench = spark.createDataFrame([(1, "12345")], "item_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r.doc_id for r in decontaminate.clean_documents(d, bench, min_words=1).collect()] == [2]
+    assert classifier.good_documents(d, none).schema == d.schema and classifier.good_documents(d, none).count() == 2
+    assert {(r.doc_id, r.Text) for r in suffix_array.without_repeats(d, 2).collect()} == {(1, 12345), (2, None)}
 
 
 def test_decontamination_takes_items_without_an_id(spark):
@@ -270,9 +428,11 @@ def test_decontamination_takes_items_without_an_id(spark):
     texts = [prose(k + 50, 20) + " " + x for k, x in enumerate((prose(1, 20), prose(2, 7), prose(3, 20), "a", ""))]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = decontaminate.contaminated_passages(d, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(0, None), (0, 2), (1, None), (2, 1)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, None), (0, 2), (1, None), (2, 1), (3, None)}
     assert all(texts[r.doc_id][r.start : r.end] == r.passage for r in got)
-    assert {r.doc_id for r in decontaminate.clean_documents(d, bench).collect()} == {3, 4}
+    assert {r.doc_id for r in decontaminate.clean_documents(d, bench, min_words=5).collect()} == {3, 4}
+    assert {r.doc_id for r in decontaminate.clean_documents(d, bench, min_words=1).collect()} == {4}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_passages(d, bench, min_words=5).collect()} == {(0, None), (0, 2), (1, None), (2, 1)}
 
 
 # --- 8 -------------------------------------------------------------------------------------------------------------
@@ -301,9 +461,9 @@ def brute_near(texts, n=3, t=0.6):
 def test_near_copies_against_brute_force(spark, docs, empty):
     texts = near_texts()
     d = spark.createDataFrame(rows(list(texts.items()) + [(5, texts[5]), (None, texts[5])]), SCHEMA)
-    got = {}
-    for r in ngram_join.near_copies(d).collect():
-        got |= {(min(a, b), max(a, b)): r.jaccard for a in r.doc_ids for b in r.other_ids if a != b}
+    pairs = ngram_join.near_copies(d).collect()
+    got = {(r.doc_id, r.other_id): r.jaccard for r in pairs}
+    assert len(got) == len(pairs)
     want = brute_near(texts)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     parent = {i: i for i in texts}
@@ -317,12 +477,34 @@ def test_near_copies_against_brute_force(spark, docs, empty):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     left = ngram_join.without_near_copies(d)
-    assert Counter(r.doc_id for r in left.collect()) == Counter([i for i in texts if find(i) == i] + [5] * (find(5) == 5) + [None])
+    assert Counter(r.doc_id for r in left.collect()) == Counter([i for i in texts if find(i) == i] + [5] * (find(5) == 5))
     assert left.columns == d.columns
     assert ngram_join.near_copies(empty).count() == 0 and ngram_join.without_near_copies(empty).count() == 0
     ngram_join.near_copies(docs).collect()
 
 
+@pytest.mark.parametrize("cell", [3, 100_000])
+def test_near_copies_of_large_clusters(spark, monkeypatch, cell):
+    """A cluster that is a grid of cells gives what one that is compared in one place gives."""
+    monkeypatch.setattr(ngram_join, "CELL_POSTINGS", cell)
+    base, texts = prose(5, 60).split(), {}
+    for k in range(90):
+        r, t = random.Random(k // 2), list(base)
+        for _ in range(k % 9):
+            t[r.randrange(len(t))] = r.choice(WORDS)
+        texts[k] = " ".join(t)
+    d = spark.createDataFrame(rows(list(texts.items())), SCHEMA)
+    assert {(r.doc_id, r.other_id): pytest.approx(r.jaccard) for r in ngram_join.near_copies(d).collect()} == brute_near(texts)
+
+
+def test_near_copies_among_rows_that_share_an_id(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    d = spark.createDataFrame(rows([(1, a), (1, b), (2, b), (3, c), (3, c), (None, a), (None, prose(4, 40)), (None, None)]), SCHEMA)
+    assert [tuple(r) for r in ngram_join.near_copies(d).collect()] == [(1, 2, 1.0)]
+    left = Counter((r.doc_id, r.text) for r in ngram_join.without_near_copies(d).collect())
+    assert left == Counter([(1, a), (1, b), (3, c), (3, c), (None, prose(4, 40)), (None, None)])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in ngram_join.components(edges, Scratch(spark, "t")).collect()}
@@ -353,11 +535,12 @@ def brute_repeats(texts, n=50):
     return out
 
 
-def test_repeated_passages_against_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("filtered", [True, False])
+def test_repeated_passages_against_brute_force(spark, docs, empty, filtered):
     texts = repeating_texts()
     d = spark.createDataFrame(rows(list(texts.items())), SCHEMA)
     got = defaultdict(lambda: None)
-    spans = suffix_array.repeated_passages(d).collect()
+    spans = suffix_array.repeated_passages(d, filtered=filtered).collect()
     for r in spans:
         w = words([texts[r.doc_id]])
         mask = got[r.doc_id] if got[r.doc_id] is not None else np.zeros(len(w.begin), bool)
@@ -367,6 +550,8 @@ def test_repeated_passages_against_brute_force(spark, docs, empty):
     assert got.keys() == want.keys()
     assert all((got[k] == want[k]).all() for k in want)
     assert {r.is_copy for r in spans} == {True, False}
+    if not filtered:
+        return
     left = suffix_array.without_repeats(d)
     kept = {r.doc_id: r for r in left.collect()}
     assert left.columns == d.columns and kept[20].text == texts[20] and kept[22].text is None
@@ -412,10 +597,9 @@ def test_link_graph_against_power_iteration(spark):
         pages.append((k, f"http://{src}/{k}", f"<a href=\"/rel\">{links}<a href=//{hosts[11]}/>" if k == 5 else links))
     odd = [(100, None, None), (101, "", ""), (102, "not a url", "<a href='http://h1.example/'>"), (0, pages[0][1], pages[0][2])]
     d = spark.createDataFrame(pages + odd, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("trust", F.lit(2))
-    got = link_graph.judged_pages(d, ("h0.example",), ("h8.example",)).collect()
+    seeds = lambda *names: link_graph.seed_table(spark, names)
+    got = link_graph.judged_pages(d, seeds("h0.example"), seeds("h8.example", "h8.example")).collect()
     assert len(got) == len(pages) + len(odd) and all(x.keep for x in got if x.host is None)
-    import re
-
     weight = defaultdict(set)
     for _, url, html in pages:
         src = re.search("//([^/]+)", url)[1]
@@ -432,7 +616,7 @@ def test_link_graph_against_power_iteration(spark):
         s = np.zeros(len(names))
         s[ix[seed]] = 1
         out, x = m.sum(1), s.copy()
-        for _ in range(12):
+        for _ in range(300):
             x = 0.15 * s + 0.85 * ((x[out > 0] / out[out > 0]) @ m[out > 0] + x[out == 0].sum() * s)
         return x
 
@@ -443,27 +627,35 @@ def test_link_graph_against_power_iteration(spark):
             assert x.trust == pytest.approx(trust[k], abs=1e-8) and x.distrust == pytest.approx(distrust[k], abs=1e-8)
             refuse = x.host == "h8.example" or (x.host != "h0.example" and distrust[k] * len(names) >= 1 and distrust[k] > trust[k])
             assert x.keep == (not refuse)
-    assert link_graph.judged_pages(d.limit(0), ("a",), ("b",)).count() == 0
-    assert all(x.keep for x in link_graph.judged_pages(d, (), ()).collect())
+    assert link_graph.judged_pages(d.limit(0), seeds("a"), seeds("b")).count() == 0
+    assert all(x.keep and x.trust == x.distrust == 0 for x in link_graph.judged_pages(d, seeds(), seeds()).collect() if x.host)
+    many = link_graph.judged_pages(d, seeds(), seeds("example", *(f"x{k}.example.org" for k in range(5000)))).collect()
+    assert all(x.keep == (x.host is None) for x in many)  # a domain covers all hosts below it, among thousands of seeds
+
+
+def test_link_table_counts_as_links(spark):
+    pages = [(k, f"http://h{k}.example/", None) for k in range(4)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    links = spark.createDataFrame([("http://h0.example/", "//h1.example/a"), ("http://h0.example/", "http://h1.example/b"), ("http://h1.example/", "http://H2.example"), (None, "http://h3.example/"), ("x", None)], "url string, target string")
+    got = {r.host: r for r in link_graph.judged_pages(d, link_graph.seed_table(spark, ["h0.example"]), link_graph.seed_table(spark, ["none.example"]), links).collect()}
+    y = [1, 0.85, 0.85**2, 0]
+    assert [got[f"h{k}.example"].trust for k in range(4)] == pytest.approx([v / sum(y) for v in y], abs=1e-8)
 
 
 def test_link_graph_runs_to_the_solution(spark, tmp_path):
-    chain, names = 31, sorted(BLOCKED)
-    hosts = [f"c{k:02d}.example" for k in range(chain - 1)] + [names[0]]
+    """A chain of 31 hosts whose end is blocked, among 1,000."""
+    chain = 31
+    hosts = [f"c{k:02d}.example" for k in range(chain)]
     pages = [(k, f"http://{a}/", f"<a href='http://{b}/'>") for k, (a, b) in enumerate(zip(hosts, hosts[1:]))] + [(chain + k, f"http://n{k}.example/", "") for k in range(1000 - chain)]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    n = 1000
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r for r in link_graph.judged_pages(d, link_graph.seed_table(spark, []), link_graph.seed_table(spark, hosts[-1:])).collect()}
+    assert len(got) == 999  # the blocked host has no page of its own
     m = np.zeros((chain, chain))  # distrust moves from a host to the one that links to it, and from the first back to the seed
     m[np.arange(1, chain), np.arange(chain - 1)] = 1
     m[0, chain - 1] = 1
-    start = np.eye(chain)[chain - 1]
-    want = np.linalg.solve(np.eye(chain) - 0.85 * m.T, 0.15 * start)
-    got = {r.host: r for r in op10_url_filters(spark, str(tmp_path)).collect()}
-    assert len(got) == n - 1  # the blocked host has no page of its own
+    want = np.linalg.solve(np.eye(chain) - 0.85 * m.T, 0.15 * np.eye(chain)[chain - 1])
     for k, h in enumerate(hosts[:-1]):
-        assert got[h].distrust == pytest.approx(want[k], abs=2e-9) and got[h].keep == (want[k] * n < 1)
-    assert sum(not r.keep for r in got.values()) == sum(want[:-1] * n >= 1) > 12
+        assert got[h].distrust == pytest.approx(want[k], abs=2e-9) and got[h].keep == (want[k] * 1000 < 1)
+    assert sum(not r.keep for r in got.values()) == sum(want[:-1] * 1000 >= 1) > 12
     assert all(r.trust == 0 for r in got.values())
 
-
-assert io
