@@ -39,8 +39,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that hold a benchmark passage go."""
-    return clean_documents(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Operator 7: documents that hold a benchmark passage go; an item of under 5 words tells no leak by itself."""
+    return clean_documents(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=5)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
