@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, place_of, take_ids, texts_at, texts_of
+from siltbed.llm.arrow import batch_of, lean, place_of, take_ids, texts_at, texts_of
 from siltbed.llm.text import _tables, chunks, code_points, word_list
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("passage", pa.string())])
@@ -105,7 +105,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = 13,
                 at, *rest = zip(*rows)
                 yield batch_of(SCHEMA, take_ids(batch.column("doc_id"), at), *map(list, rest))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(find), DDL)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int, gram: int = 13) -> DataFrame:
@@ -127,7 +127,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int, gram:
                     clean[a + hit[0]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 _WORD = r"[\p{L}\p{N}_]+"

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, pack, texts_of, unpack
+from siltbed.llm.arrow import batch_of, lean, pack, texts_of, unpack
 from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_sets, words
 
@@ -163,7 +163,7 @@ def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, par
 
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     own = docs.select(doc_id.alias("doc_id"), text.alias("text"), *row_key(docs))
-    back = scratch.write(own.mapInArrow(blocks, _ddl(_BLOCK)).repartitionById(parts, "bucket").mapInArrow(frequencies, _ddl(_BACK)), "shared")
+    back = scratch.write(own.mapInArrow(lean(blocks), _ddl(_BLOCK)).repartitionById(parts, "bucket").mapInArrow(lean(frequencies), _ddl(_BACK)), "shared")
     collect_garbage(docs.sparkSession)
     return back.groupBy("chunk").applyInArrow(prefixes, _ddl(_SET))
 
@@ -278,7 +278,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, n: int = 3, threshold: float
     collect_garbage(spark)
     groups = classes.groupBy("prefix_key").agg(F.min("uid").alias("grp"), F.min_by(F.struct("size", "alone", "prefix"), "uid").alias("s"), F.collect_list("uid").alias("classes"))
     groups = scratch.write(groups.select("grp", "classes", "s.*"), "groups")
-    lists = groups.select("grp", "size", "alone", "prefix").mapInArrow(_explode_prefix, "gram long, place int, grp long, size int")
+    lists = groups.select("grp", "size", "alone", "prefix").mapInArrow(lean(_explode_prefix), "gram long, place int, grp long, size int")
     homes = lists.groupBy("gram").agg(F.min("grp").alias("home"), F.max("grp").alias("last"), F.count("*").alias("n")).where("home < last")
     homes = scratch.write(homes.select("gram", "home", "n"), "homes")
     wide = homes.groupBy("home").agg(F.ceil(F.sum("n") / CELL_POSTINGS).cast("int").alias("wide")).where("wide > 1")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, pack, place_of, take_ids, texts_at, texts_of, unpack
+from siltbed.llm.arrow import batch_of, lean, pack, place_of, take_ids, texts_at, texts_of, unpack
 from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_hashes, winnow, words
 
@@ -152,7 +152,7 @@ class Sorter:
                     at = np.linspace(0, len(keys[0]) - 1, min(each, len(keys[0]))).astype(np.int64)
                     yield pa.RecordBatch.from_pydict({"k": [np.stack([k[at] for k in keys[:lead]], 1).tobytes()]})
 
-        got = [np.frombuffer(bytes(r[0]), np.uint64).reshape(-1, lead) for r in some.mapInArrow(pick, "k binary").collect()]
+        got = [np.frombuffer(bytes(r[0]), np.uint64).reshape(-1, lead) for r in some.mapInArrow(lean(pick), "k binary").collect()]
         found = sorted(map(tuple, np.concatenate(got).tolist())) if got else []
         return sorted({found[len(found) * k // self.parts] for k in range(1, self.parts)}) if found else []
 
@@ -185,7 +185,7 @@ class Sorter:
                 yield from finish(bucket, block, np.concatenate(ats), keys, order_of(keys))
 
         self.n += 1
-        return self.scratch.write(source.mapInArrow(send, _ddl(_SORT)).repartitionById(self.parts, "bucket").mapInArrow(sort, _ddl(_NAMED)), f"sorted{self.n}")
+        return self.scratch.write(source.mapInArrow(lean(send), _ddl(_SORT)).repartitionById(self.parts, "bucket").mapInArrow(lean(sort), _ddl(_NAMED)), f"sorted{self.n}")
 
 
 def _named(bucket: int, block: np.ndarray, at: np.ndarray, rank: np.ndarray, count: int):
@@ -401,7 +401,7 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50, filtered: bo
 
     def filtered_spots() -> DataFrame:
         """(_sa_uid, places) of the fingerprints that occur twice; a hot one is counted by parts and joined by parts."""
-        grams = scratch.write(own.select(*_DOCS).mapInArrow(fingerprints, "gram long, _sa_uid long, place int"), "grams")
+        grams = scratch.write(own.select(*_DOCS).mapInArrow(lean(fingerprints), "gram long, _sa_uid long, place int"), "grams")
         twice = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
         spots = scratch.write(grams.join(twice, "gram").groupBy("_sa_uid").agg(F.collect_set("place").alias("places")), "spots")
         scratch.drop("grams")
@@ -435,9 +435,9 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50, filtered: bo
                     yield batch_of(segment, *map(list, zip(*rows)))
 
     if filtered:
-        pieces = own.join(filtered_spots(), "_sa_uid").select(*_DOCS, "places").mapInArrow(segments, _SEGMENT)
+        pieces = own.join(filtered_spots(), "_sa_uid").select(*_DOCS, "places").mapInArrow(lean(segments), _SEGMENT)
     else:
-        pieces = own.select(*_DOCS).mapInArrow(whole, _SEGMENT)
+        pieces = own.select(*_DOCS).mapInArrow(lean(whole), _SEGMENT)
     parts_of = scratch.write(pieces, "segments")
     scratch.drop("spots")
     occurs = parts_of.select("_sa_uid", "start", "n", "key").distinct()
@@ -467,7 +467,7 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50, filtered: bo
             yield flush()
 
     different = parts_of.select("key", "toks").dropDuplicates(["key"]).sortWithinPartitions("key")
-    table = scratch.write(different.mapInArrow(blocks, _ddl(_BLOCK) + ", keys binary"), "blocks")
+    table = scratch.write(different.mapInArrow(lean(blocks), _ddl(_BLOCK) + ", keys binary"), "blocks")
     occurs = scratch.write(occurs, "occurs")
     scratch.drop("segments")
     collect_garbage(spark)
@@ -538,7 +538,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, filtered: bool = Tru
                 at, *rest = zip(*rows)
                 yield batch_of(_SPAN, take_ids(batch.column("doc_id"), at), *map(list, rest))
 
-    return _keyed(docs).join(found, "_sa_uid").select("doc_id", "text", "copies", "firsts").mapInArrow(locate, "doc_id long, start long, end long, n_words long, is_copy boolean")
+    return _keyed(docs).join(found, "_sa_uid").select("doc_id", "text", "copies", "firsts").mapInArrow(lean(locate), "doc_id long, start long, end long, n_words long, is_copy boolean")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -581,4 +581,4 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
                     columns[chars_at] = pa.array(count, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return both.mapInArrow(cut, docs.schema)
+    return both.mapInArrow(lean(cut), docs.schema)

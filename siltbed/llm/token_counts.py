@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, pack, texts_of, unpack
+from siltbed.llm.arrow import batch_of, lean, pack, texts_of, unpack
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -152,9 +152,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(postings, "token string, chunk long, salt long, postings binary")
+        .mapInArrow(lean(postings), "token string, chunk long, salt long, postings binary")
         .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.when(F.col("token").isNull(), F.col("chunk")).otherwise(F.xxhash64("token", "salt")))
-        .mapInArrow(count, "chunk long, docs binary, counts binary")
+        .mapInArrow(lean(count), "chunk long, docs binary, counts binary")
         .groupBy("chunk")
         .applyInArrow(add_up, "doc_id long, n_tokens long, n_pre_tokens long")
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, pack, take_ids, texts_of, unpack
+from siltbed.llm.arrow import batch_of, lean, pack, take_ids, texts_of, unpack
 from siltbed.llm.text import chunks, code_points, mix, words
 
 BITS = 20
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 1500, max_false:
             on = w != 0
             yield pa.RecordBatch.from_pydict({"model": [used[on].astype("<i8").tobytes() + w[on].astype("<f8").tobytes() + np.array([bias, at], "<f8").tobytes()]})
 
-    got = rows.mapInArrow(encode, "y int, f binary, s binary").repartition(1).mapInArrow(learn, "model binary").collect()  # one row, of the model's fixed size
+    got = rows.mapInArrow(lean(encode), "y int, f binary, s binary").repartition(1).mapInArrow(lean(learn), "model binary").collect()  # one row, of the model's fixed size
     if not got:
         return None
     raw = bytes(got[0][0])
@@ -213,4 +213,4 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, max_train: int = 1500, m
             if at:
                 yield batch_of(_OUT, take_ids(batch.column("doc_id"), at), total, pa.array(found, _OUT.field("sentences").type))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(score), DDL)
