@@ -141,6 +141,21 @@ def fn_top_files(spark, sf_dir):
     return indexes.count_by(fn_all(spark, sf_dir), "file", 10)
 
 
+_FN5 = f"""(select regexp_extract(line, '([Ff]n_?\\d+)\\(', 1) as name, file, line_no as line, case when file like '%.c' then line else regexp_replace(line, ' \\{{$', '') end as signature,
+ case when file like '%.go' then 'error' when file like '%.rs' then 'bool' when file like '%.ts' then 'string' else 'int' end as return_type,
+ case when file like '%.go' then 'size:int' when file like '%.rs' then 'size:i32' when file like '%.ts' then 'size:number' else 'int:size' end as parameters from {oracle('function_lines')})"""
+
+
+@query(f"select * from {_FN5}")
+def fn_languages(spark, sf_dir):
+    return shown(indexes.functions(derived(spark, sf_dir, "function_lines")))
+
+
+@query(f"select * from {_FN5} where (contains(lower(name), 'fn1') or contains(lower(signature), 'fn1')) and contains(file, '.cs') order by file, line, name limit 20")
+def fn_search_file(spark, sf_dir):
+    return shown(indexes.search_functions(indexes.functions(derived(spark, sf_dir, "function_lines")), "FN1", file=".cs"))
+
+
 def _routes_sql() -> str:
     rows = " union all ".join(f"select file, line_no, near, upper(regexp_extract(line, {quote(r.regex)}, {r.method})) as method, regexp_extract(line, {quote(r.regex)}, {r.path}) as path from n where regexp_matches(line, {quote(r.regex)})" for r in P.ROUTES if r.framework == "express")
     handler = ", ".join(f"nullif(regexp_extract(near, {quote(h)}, 1), '')" for h in P.HANDLERS)
@@ -163,6 +178,16 @@ def rt_by_file(spark, sf_dir):
     return indexes.first_per_file(rt_index(spark, sf_dir), 10)
 
 
+@query(f"select case p when 0 then 'GET' when 1 then 'GET' when 2 then 'POST' when 3 then 'ALL' when 4 then 'DELETE' else 'PUT' end as method, concat('/p', k) as path, 'anonymous' as handler, file, k as line from (select file, line_no as k, line_no % 6 as p from {oracle('web_lines')})")
+def rt_frameworks_index(spark, sf_dir):
+    return indexes.routes(derived(spark, sf_dir, "web_lines"), ("flask", "fastapi", "go", "aspnet"))
+
+
+@query(f"select distinct case when file like '%.json' then 'express' when file like '%.txt' then 'flask' else 'aspnet' end as framework from {oracle('manifests')}")
+def rt_frameworks(spark, sf_dir):
+    return indexes.frameworks(derived(spark, sf_dir, "manifests"))
+
+
 def _pins_sql() -> str:
     lists = []
     for r, groups in P.PINS:
@@ -246,7 +271,13 @@ def dup_report(spark, sf_dir):
 
 @query(_GROUPS + "select count(*) as groups, coalesce(sum(occurrences), 0)::bigint as occurrences, coalesce(round(avg(lines)), 0)::bigint as mean_lines, coalesce(sum(lines * (occurrences - 1)), 0)::bigint as removable_lines from g")
 def dup_summary(spark, sf_dir):
-    return duplicates.summary(dup_all(spark, sf_dir))
+    return duplicates.summary(duplicates.sizes(duplicates.windows(docs(spark, sf_dir))))
+
+
+@query(_GROUPS + """, t as (select *, row_number() over (order by occurrences desc, lines desc, hash) as nth from g)
+select nth, lines, occurrences, preview, array_to_string(string_split(places, ' ')[1:3], ' ') as shown, greatest(occurrences - 3, 0) as more from t where nth <= 5""")
+def dup_listing(spark, sf_dir):
+    return duplicates.listing(dup_all(spark, sf_dir)).withColumn("shown", joined("shown", " "))
 
 
 SNIPPET = "The of, and to.\nIt is (the) = of;\nwith the by"
@@ -328,6 +359,32 @@ def dep_report(spark, sf_dir):
     return imports.report(found, corpus).withColumn("external_names", joined("external_names"))
 
 
+_I4 = oracle("import_files")
+
+
+@query(f"""select file as src, 'lib.a' as spec, null as dst, true as external from {_I4} where k % 4 = 0
+ union all select file, concat('.m', (k * 3) % 97), concat('pkg/m', (k * 3) % 97, '.py'), false from {_I4} where k % 4 = 0
+ union all select file, '..up', 'up.py', false from {_I4} where k % 4 = 0
+ union all select file, concat('fmt', k), concat('fmt', k), false from {_I4} where k % 4 = 1
+ union all select file, 'example.com/y', null, true from {_I4} where k % 4 = 1
+ union all select file, concat('crate::m', k), concat('crate::m', k), false from {_I4} where k % 4 = 2
+ union all select file, unnest(['sub', 'std::io']), null, true from {_I4} where k % 4 = 2
+ union all select file, 'System.Text', null, true from {_I4} where k % 4 = 3
+ union all select file, concat('App.M', k), concat('App.M', k), false from {_I4} where k % 4 = 3""")
+def dep_languages(spark, sf_dir):
+    return imports.edges(derived(spark, sf_dir, "import_files"))
+
+
+@query(_DEP + """, m as (select dst as item, count(*) as n from e where dst is not null group by dst)
+select 'total' as section, 1::bigint as nth, 'files' as item, (select count(*) from f) as n union all select 'total', 2, 'imports', (select count(*) from e) union all select 'total', 3, 'external', (select count(distinct spec) from e where external)
+union all select 'most imported', nth, item, n from (select *, row_number() over (order by n desc, item) as nth from m) where nth <= 5""")
+def dep_summary(spark, sf_dir):
+    """Without the sections of cycles and orphans, which this corpus has none of or dep_cycles and dep_roles compare."""
+    corpus, found = dep_all(spark, sf_dir)
+    none = spark.createDataFrame([], "length int, cycle string")
+    return imports.summary(found, corpus, none).where("section in ('total', 'most imported')")
+
+
 @query(f"""with recursive g as (select * from {oracle('graph')}), walk(root, last, path, n) as (
   select src, dst, [src], 1 from g where src <= dst
   union all select w.root, g.dst, list_append(w.path, w.last), w.n + 1 from walk w join g on w.last = g.src where w.n < 8 and w.last <> w.root and g.dst >= w.root and not list_contains(w.path, w.last))
@@ -371,6 +428,14 @@ def ref_long_functions(spark, sf_dir):
     return refactor.long_functions(derived(spark, sf_dir, "long_corpus"))
 
 
+@query(_GROUPS + f""", o1 as (select hash, arg_min(file, (file, o.s)) as file, arg_min(o.s, (file, o.s)) as s, arg_min(o.e, (file, o.s)) as e from k group by hash)
+select g.hash, 'python' as language, concat('    ', array_to_string(string_split(text, chr(10))[o1.s:o1.e], concat(chr(10), '    ')), chr(10)) as body, occurrences
+from g join o1 on g.hash = o1.hash join {_DOCS} c on c.file = o1.file where not regexp_matches({strip_sql('preview')}, {quote(P.NOT_EXTRACTABLE)})""")
+def ref_fixes(spark, sf_dir):
+    fixes = refactor.duplicate_fixes(dup_all(spark, sf_dir), docs(spark, sf_dir))
+    return fixes.select("hash", "language", F.regexp_replace("new_code", r"^def \w+\(\):\n", "").alias("body"), F.size("replacements").cast("long").alias("occurrences"))
+
+
 @query(_GROUPS + f""", d as (select 'remove-duplicate' as type, case when occurrences >= 3 then 'high' else 'medium' end as priority, hash as key, lines * occurrences as lines, concat('Remove ~', lines * (occurrences - 1), ' duplicate lines') as impact from g where not regexp_matches({strip_sql('preview')}, {quote(P.NOT_EXTRACTABLE)})),
 m as (select 'extract-constant' as type, case when count(*) >= 5 then 'medium' else 'low' end as priority, file as key, null::bigint as lines, 'Improved code readability and maintainability' as impact from {_MAGIC} group by file having count(*) >= 3)
 select * from d union all select * from m""")
@@ -416,6 +481,16 @@ def kn_markers(spark, sf_dir):
     return knowledge.markers(derived(spark, sf_dir, "marked_lines"), "f", "2024-01-01").select("type", F.col("source.files")[0].alias("place"), "title", "content")
 
 
+_MARKED = "select type, file as place, case when length(content) > 60 then concat(substr(content, 1, 57), '...') else content end as title, content from (" + " union all ".join(_marked(k, r) for k, r in P.MARKERS) + ")"
+
+
+@query(f"select sha256(concat_ws(chr(31), type, title, content, 'f')) as id, type, title, content, place from ({_MARKED}) union all select sha256(concat_ws(chr(31), type, title, content, feature)), type, title, content, null from (select case when kind = 'blocker' then 'bug' else 'pattern' end as type, case when length(text) > 60 then concat(substr(text, 1, 57), '...') else text end as title, text as content, feature from {oracle('items')})")
+def kn_feature(spark, sf_dir):
+    notes = spark.createDataFrame([], "file string, text string, feature string, files array<string>")
+    out = knowledge.extract_feature(notes, derived(spark, sf_dir, "items"), derived(spark, sf_dir, "marked_lines"), "f", "2024-01-01")
+    return out.select("id", "type", "title", "content", F.try_element_at("source.files", F.lit(1)).alias("place"))
+
+
 @query("select name, nth, id, title from (select s_name as name, e.id, title, row_number() over (partition by s_name order by e.id) as nth from (select distinct lower(substr(regexp_extract(lower(text), '([a-z]{4,})', 1), 1, 6)) as s_name from benchmark) f join " + _KN + " e on contains(lower(title), s_name) or contains(lower(content), s_name) where s_name <> '') where nth <= 3")
 def ft_related(spark, sf_dir):
     names = table(spark, sf_dir, "benchmark").select(F.substring(F.regexp_extract(F.lower("text"), "([a-z]{4,})", 1), 1, 6).alias("name")).where("name <> ''").distinct()
@@ -441,6 +516,12 @@ def ft_active(spark, sf_dir):
     return state.active_feature(ft_all(spark, sf_dir)).select("name", "status")
 
 
+@query(f"select n as name from (select distinct concat('feature', cast(o_custkey % 600 as varchar(9))) as n from orders) where n not in (select name from {_FT})")
+def ft_new(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select(F.concat(F.lit("feature"), (F.col("o_custkey") % 600).cast("string")).alias("name"))
+    return state.new_features(ft_all(spark, sf_dir), wanted)
+
+
 _SS = oracle("session_events")
 
 
@@ -458,6 +539,26 @@ def ss_locks(spark, sf_dir):
     return state.locks(derived(spark, sf_dir, "session_events"))
 
 
+@query(ORACLES["ss_locks"].replace("select file, owner as session, since as locked_at from", "select 'lock' as kind, owner as session, file as what, since as ts from") + f" and owner <> '1' union all select * from (select 'discovery', session, content, ts from {_SS} where action = 'discovery' and session <> '1' order by ts desc, seq desc limit 10)")
+def ss_sync(spark, sf_dir):
+    events = derived(spark, sf_dir, "session_events")
+    return state.sync(state.locks(events), events, "1")
+
+
+@query(f"select session, seq, content from {_SS} where action = 'discovery' and session <> '1' and ts >= (select max(ts) from {_SS}) - interval 3 day")
+def ss_discoveries_since(spark, sf_dir):
+    events = derived(spark, sf_dir, "session_events")
+    since = events.agg((F.max("ts") - F.expr("interval 3 days")).alias("t")).first().t
+    return state.discoveries(events, "1", since=since).select("session", "seq", "content")
+
+
+@query(f"select session, arg_max(task, (ts, seq)) filter (where task is not null) as task, max(ts) as last_updated from {_SS} where ts <= (select min(ts) from {_SS}) + interval 10 day group by session")
+def cx_as_of(spark, sf_dir):
+    events = derived(spark, sf_dir, "session_events")
+    as_of = events.agg((F.min("ts") + F.expr("interval 10 days")).alias("t")).first().t
+    return state.context(events, "session", ("task",), as_of=as_of)
+
+
 @query(f"select session, seq, content from {_SS} where action = 'discovery' and session <> '1' order by ts desc, seq desc limit 10")
 def ss_discoveries(spark, sf_dir):
     return state.discoveries(derived(spark, sf_dir, "session_events"), "1", top=10).select("session", "seq", "content")
@@ -488,6 +589,30 @@ def vp_result(spark, sf_dir):
     return review.pipeline_result(derived(spark, sf_dir, "check_runs"))
 
 
+_CHECKS = oracle("check_rows")
+
+
+@query(f"select name, passed, case when passed then 'Passed' else concat('Failed with ', errors, ' errors') end as details, name <> 'Lint' as required from {_CHECKS} union all select 'Git Status', count(*) = 0, case when count(*) = 0 then 'Working tree clean' else concat(count(*), ' uncommitted changes') end, false from {oracle('file_names')}")
+def rv_checks(spark, sf_dir):
+    runs = derived(spark, sf_dir, "check_rows").withColumn("errors", F.array_repeat(F.lit("e"), F.col("errors")))
+    return review.check_gates(runs).unionByName(review.git_gate(derived(spark, sf_dir, "file_names").select(F.col("file").alias("path"))))
+
+
+@query(f"select 0 as nth, case when bool_and(passed) then 'All checks passed' else 'Some checks failed' end as line from {_CHECKS} union all select nth::int, concat(case when passed then 'ok   ' else 'FAIL ' end, rpad(name, 12, ' '), ' ', duration, ' ms') from (select *, row_number() over (order by rpad(name, 12, ' '), duration, passed) as nth from {_CHECKS})")
+def vp_summary(spark, sf_dir):
+    return review.check_summary(derived(spark, sf_dir, "check_rows"))
+
+
+@query(f"select name, substr(output, 1, 5000) as output from {oracle('outputs')}")
+def vp_stored(spark, sf_dir):
+    return review.stored_output(derived(spark, sf_dir, "outputs"))
+
+
+@query(f"select count(*) as files, count(*) > 5 as force from {oracle('file_names')}")
+def sf_force(spark, sf_dir):
+    return review.needs_force(derived(spark, sf_dir, "file_names"))
+
+
 _GATES = """s as (select count(*) filter (where severity = 'critical') as c, count(*) filter (where severity = 'high') as h from raw),
 i as (select 'Security Scan' as name, c = 0 and h = 0 as passed, case when c > 0 or h > 0 then concat('Found ', c, ' critical and ', h, ' high severity issues') else 'No security issues found' end as details, true as required from s
  union all select 'Duplicate Code', true, case when n > 0 then concat('Found ', n, ' significant duplicates') else 'No significant duplicates found' end, false from (select count(*) as n from g where lines >= 10 and occurrences >= 3)
@@ -496,7 +621,7 @@ _REVIEW = _GROUPS.rstrip() + f", l as (select * from {lines_sql(_BOTH)}), raw as
 
 
 def gates(spark, sf_dir):
-    return review.security_gate(sec_findings(spark, sf_dir)).unionByName(review.duplicate_gate(dup_all(spark, sf_dir))).unionByName(review.feature_gate(ft_all(spark, sf_dir)))
+    return review.security_gate(sec_findings(spark, sf_dir)).unionByName(review.duplicate_gate(duplicates.sizes(duplicates.windows(docs(spark, sf_dir))))).unionByName(review.feature_gate(ft_all(spark, sf_dir)))
 
 
 @query(_REVIEW + "select * from i")
@@ -504,9 +629,9 @@ def rv_gates(spark, sf_dir):
     return gates(spark, sf_dir)
 
 
-@query(_REVIEW + "select count(*) as checks, count(*) filter (where passed) as passed, count(*) filter (where not passed and required) as failed, count(*) filter (where not passed and not required) as warnings, count(*) filter (where not passed and required) = 0 as ready from i")
+@query(_REVIEW + "select count(*) as checks, count(*) filter (where passed) as passed, count(*) filter (where not passed and required) as failed, count(*) filter (where not passed and not required) as warnings, count(*) filter (where not passed and required) = 0 as ready, case when count(*) filter (where not passed) = 0 then 'All checks passed. Ready to complete' when count(*) filter (where not passed and required) = 0 then concat('Ready to complete. ', count(*) filter (where not passed), ' warning(s) to review') else concat('Not ready. Fix required issues: ', string_agg(name, ', ' order by name) filter (where not passed and required)) end as recommendation from i")
 def rv_report(spark, sf_dir):
-    return review.review(gates(spark, sf_dir)).drop("recommendation")
+    return review.review(gates(spark, sf_dir))
 
 
 @query(_WITH + f", a as (select count(*) filter (where severity = 'critical') as critical, count(*) as findings from raw) select case when critical > 0 then 'error' when findings > 0 then 'warn' else 'ok' end as status, critical, findings, (select count(*) from {_FN}) as functions, (select min(name) from {_FT} where status = 'active') as active_feature, critical = 0 as can_finish from a")

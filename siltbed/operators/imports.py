@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import patterns as P
@@ -182,3 +182,20 @@ def report(found: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row: files, imports, internal and external, and the external names."""
     agg = found.agg(F.count("*").alias("imports"), F.count_if(~F.col("external")).alias("internal"), F.count_if("external").alias("external"), F.sort_array(F.collect_set(F.when(F.col("external"), F.col("spec")))).alias("external_names"))
     return corpus.agg(F.count_distinct("file").alias("files")).crossJoin(agg)
+
+
+def summary(found: DataFrame, corpus: DataFrame, rings: DataFrame, most_cycles: int = 3, most_files: int = 5) -> DataFrame:
+    """(section, nth, item, n): totals, the first cycles and how many more there are, orphans, and what is imported most."""
+    totals = report(found, corpus).select(F.explode(F.array(*[F.struct(F.lit("total").alias("section"), F.lit(k).cast("long").alias("nth"), F.lit(c).alias("item"), v.cast("long").alias("n")) for k, (c, v) in enumerate((("files", F.col("files")), ("imports", F.col("imports")), ("external", F.size("external_names"))), 1)])).alias("x")).select("x.*")
+
+    def first(rows: DataFrame, section: str, most: int) -> DataFrame:
+        """``rows``: (item, n, order) of which the first by order are shown."""
+        top = rows.orderBy("order", "item").limit(most)
+        return top.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy("order", "item")).cast("long").alias("nth"), "item", F.col("n").cast("long").alias("n"))  # ``most`` rows
+
+    cycles_ = rings.select(F.col("cycle").alias("item"), F.col("length").alias("n"), F.col("length").alias("order"))
+    more = rings.agg(F.greatest(F.count("*") - most_cycles, F.lit(0)).alias("n")).select(F.lit("cycle").alias("section"), F.lit(most_cycles + 1).cast("long").alias("nth"), F.lit("more").alias("item"), "n").where("n > 0")
+    orphans = classify(found, corpus).where("role = 'orphan'").select(F.col("file").alias("item"), F.lit(0).alias("n"), F.lit(0).alias("order"))
+    most, _ = degrees(found, None)
+    imported = most.select(F.col("file").alias("item"), "n", (-F.col("n")).alias("order"))
+    return totals.unionByName(first(cycles_, "cycle", most_cycles)).unionByName(more).unionByName(first(orphans, "orphan", most_files)).unionByName(first(imported, "most imported", most_files))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from siltbed.functions import patterns as P
 from siltbed.functions.text import clip, extension, strip
+from siltbed.operators.similarity import once
 from siltbed.sources.corpus import sections
 
 
 def tags(text: Column, most: int = 5) -> Column:
-    return F.slice(F.filter(F.array(*[F.lit(t) for t in P.TAGS]), lambda t: F.contains(F.lower(text), t)), 1, most)
+    """The first ``most`` known tags that the text holds; it is lower-cased once."""
+    known = F.array(*[F.lit(t) for t in P.TAGS])
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.slice(F.filter(known, lambda t: F.contains(low, t)), 1, most)), 1)
 
 
 def entry_id(kind: Column, title: Column, content: Column, feature: Column) -> Column:
@@ -27,10 +30,12 @@ def decisions(notes: DataFrame) -> DataFrame:
     """Entries from (file, text, feature, files): each ``## date`` section with a body of over 10 characters."""
     own = notes.select("file", "text", "feature", "files")
     parts = sections(own.select(F.struct("feature", "files").alias("file"), "text"))
-    text = strip(F.col("section"))
-    first = F.regexp_extract(text, r"^([^\n]*)", 1)
-    body = strip(F.substring(text, F.length(first) + 1, F.length(text)))
-    rows = parts.select(F.col("file.feature").alias("feature"), F.col("file.files").alias("files"), strip(first).alias("date"), body.alias("content")).where(F.length("content") > 10)
+    # generated columns, so that filters and later fields don't compute them again
+    text = parts.select(F.col("file.feature").alias("feature"), F.col("file.files").alias("files"), once(strip(F.col("section"))).alias("text"))
+    end = F.locate("\n", F.col("text"))
+    first = F.when(end > 0, F.substring("text", F.lit(1), end - 1)).otherwise(F.col("text"))
+    body = F.when(end > 0, F.substring("text", end, F.length("text"))).otherwise("")
+    rows = text.select("feature", "files", strip(first).alias("date"), once(strip(body)).alias("content")).where(F.length("content") > 10)
     return _entries(rows.select(F.lit("decision").alias("type"), F.concat(F.lit("Decision: "), clip(F.col("content"), 50)).alias("title"), "content", tags(F.col("content")).alias("tags"), "feature", "files", "date"))
 
 

@@ -12,7 +12,19 @@ from siltbed.functions.text import basename, strip
 # --- check pipeline ------------------------------------------------------------------------------------------------
 
 
-def output_lines(outputs: DataFrame, most: int = 20, chars: int = 5000) -> DataFrame:
+def stored_output(outputs: DataFrame, chars: int = 5000) -> DataFrame:
+    """(name, output): of each output the first ``chars`` characters; errors and warnings are found in all of it."""
+    return outputs.select("name", F.substring("output", 1, chars).alias("output"))
+
+
+def check_summary(checks: DataFrame) -> DataFrame:
+    """(nth, line): a verdict over (name, passed, duration), then a line for each check, by name."""
+    all_ = pipeline_result(checks).select(F.lit(0).alias("nth"), F.when(F.col("passed"), "All checks passed").otherwise("Some checks failed").alias("line"))
+    each = checks.select(F.rpad("name", 12, " ").alias("name"), "passed", "duration", F.row_number().over(Window.orderBy("name", "duration", "passed")).alias("nth"))  # a row for each check of a run
+    return all_.unionByName(each.select("nth", F.concat(F.when(F.col("passed"), "ok   ").otherwise("FAIL "), "name", F.lit(" "), F.col("duration").cast("string"), F.lit(" ms")).alias("line")))
+
+
+def output_lines(outputs: DataFrame, most: int = 20) -> DataFrame:
     """(name, kind, nth, line): errors and warnings among (name, output), the first ``most`` of each."""
     rows = outputs.select("name", F.posexplode(F.split("output", "\n")).alias("pos", "line"))
     low = F.lower("line")
@@ -58,9 +70,9 @@ def security_gate(findings: DataFrame) -> DataFrame:
     return n.select(F.lit("Security Scan").alias("name"), (~bad).alias("passed"), text.alias("details"), F.lit(True).alias("required"))
 
 
-def duplicate_gate(groups: DataFrame, min_lines: int = 10, min_occurrences: int = 3) -> DataFrame:
-    """Never blocks; tells how many duplicates are large."""
-    n = groups.agg(F.count_if((F.col("lines") >= min_lines) & (F.size("occurrences") >= min_occurrences)).alias("n"))
+def duplicate_gate(sized: DataFrame, min_lines: int = 10, min_occurrences: int = 3) -> DataFrame:
+    """Never blocks; tells how many duplicates (hash, lines, n) are large."""
+    n = sized.agg(F.count_if((F.col("lines") >= min_lines) & (F.col("n") >= min_occurrences)).alias("n"))
     return n.select(F.lit("Duplicate Code").alias("name"), F.lit(True).alias("passed"), F.when(F.col("n") > 0, F.format_string("Found %d significant duplicates", "n")).otherwise("No significant duplicates found").alias("details"), F.lit(False).alias("required"))
 
 

@@ -32,6 +32,27 @@ DERIVED: dict[str, tuple[str, str]] = {
     "check_runs": ("orders", "select concat('check', cast(o_orderkey % 30 as varchar(9))) as name, o_orderkey % 7 <> 0 as passed, o_orderkey % 1000 as duration from {t}"),
     "outputs": ("documents", "select concat('run', cast(doc_id as varchar(19))) as name, concat(case when doc_id % 2 = 0 then 'Error: first' else 'warn: x' end, chr(10), text, chr(10), 'build failed ', chr(10), 'Warning later') as output from {t}"),
     "file_names": ("part", "select concat(case when p_partkey % 6 = 0 then 'node_modules/' when p_partkey % 6 = 1 then 'src/' when p_partkey % 6 = 2 then 'a/b/c/' else '' end, case when p_partkey % 5 = 0 then 'package.json' when p_partkey % 5 = 1 then 'go.mod' when p_partkey % 5 = 2 then 'x.ino' when p_partkey % 5 = 3 then '.env' else concat('f', cast(p_partkey as varchar(19)), '.py') end) as file, case when p_partkey % 10 = 0 then '{\"react\": 1}' else '' end as text from {t}"),
+    "function_lines": (
+        "part",
+        "select concat('f', cast(p_partkey % 7 as varchar(9)), case when p_partkey % 5 = 0 then '.go' when p_partkey % 5 = 1 then '.rs' when p_partkey % 5 = 2 then '.cs' when p_partkey % 5 = 3 then '.c' else '.ts' end) as file, p_partkey as line_no, "
+        "case when p_partkey % 5 = 0 then concat('func (s *S) Fn', cast(p_partkey as varchar(9)), '(size int) error {') when p_partkey % 5 = 1 then concat('pub fn fn_', cast(p_partkey as varchar(9)), '(size: i32) -> bool {') "
+        "when p_partkey % 5 = 2 then concat('public static int Fn', cast(p_partkey as varchar(9)), '(int size)') when p_partkey % 5 = 3 then concat('int fn_', cast(p_partkey as varchar(9)), '(int size) {') else concat('export function fn', cast(p_partkey as varchar(9)), '(size: number): string {') end as line from {t}",
+    ),
+    "import_files": (
+        "part",
+        "select concat(case when k % 4 = 0 then 'pkg/m' else 'm' end, cast(k as varchar(9)), case when k % 4 = 0 then '.py' when k % 4 = 1 then '.go' when k % 4 = 2 then '.rs' else '.cs' end) as file, k, "
+        "case when k % 4 = 0 then concat('import lib.a', chr(10), 'from .m', cast((k * 3) % 97 as varchar(9)), ' import x', chr(10), 'from ..up import y') when k % 4 = 1 then concat('import \"fmt', cast(k as varchar(9)), '\"', chr(10), 'import x \"example.com/y\"') "
+        "when k % 4 = 2 then concat('use crate::m', cast(k as varchar(9)), ';', chr(10), 'mod sub;', chr(10), 'use std::io;') else concat('using System.Text;', chr(10), 'using App.M', cast(k as varchar(9)), ';') end as text from (select distinct p_partkey % 97 as k from {t}) x",
+    ),
+    "web_lines": (
+        "pages",
+        "select concat('w', cast(page_id as varchar(19)), case when page_id % 6 < 3 then '.py' when page_id % 6 < 5 then '.go' else '.cs' end) as file, page_id as line_no, case when page_id % 6 = 0 then concat('@app.route(\"/p', cast(page_id as varchar(19)), '\")') "
+        "when page_id % 6 = 1 then concat('@app.get(\"/p', cast(page_id as varchar(19)), '\")') when page_id % 6 = 2 then concat('@router.post(\"/p', cast(page_id as varchar(19)), '\")') when page_id % 6 = 3 then concat('r.HandleFunc(\"/p', cast(page_id as varchar(19)), '\", h)') "
+        "when page_id % 6 = 4 then concat('r.DELETE(\"/p', cast(page_id as varchar(19)), '\", h)') else concat('[HttpPut(\"/p', cast(page_id as varchar(19)), '\")]') end as line from {t}",
+    ),
+    "manifests": ("nation", "select concat('d', cast(n_nationkey as varchar(9)), case when n_nationkey % 3 = 0 then '/package.json' when n_nationkey % 3 = 1 then '/requirements.txt' else '/x.csproj' end) as file, case when n_nationkey % 3 = 0 then '{\"express\": 1}' when n_nationkey % 3 = 1 then 'Flask==2' else '' end as text from {t}"),
+    "check_rows": ("nation", "select case when n_nationkey % 3 = 0 then 'Build' when n_nationkey % 3 = 1 then 'Tests' else 'Lint' end as name, n_nationkey % 4 <> 0 as passed, n_nationkey as errors, n_nationkey * 10 as duration from {t}"),
+    "items": ("conversations", "select case when turn % 2 = 0 then 'blocker' else 'note' end as kind, text, concat('f', cast(conv_id as varchar(19))) as feature from {t}"),
 }
 
 

@@ -42,6 +42,21 @@ def in_folders(corpus: DataFrame, excluded: tuple[str, ...] = ("node_modules", "
     return corpus.where(~F.col("file").rlike("(?:^|/)(?:" + "|".join(d.replace(".", r"\.") for d in excluded) + ")/"))
 
 
+def without_tests(corpus: DataFrame) -> DataFrame:
+    """Without test and spec files, by name."""
+    return corpus.where(~basename(F.col("file")).rlike(r"\.(?:test|spec)\."))
+
+
+def embedded(corpus: DataFrame) -> DataFrame:
+    """Sources that may use hardware; vendors' drivers and middleware are left out."""
+    return in_folders(corpus, ("node_modules", "build", ".git", "Drivers", "Middlewares", "CMSIS")).where(extension(F.col("file")).isin("c", "h", "cpp", "hpp", "ino", "py"))
+
+
+def comparable(corpus: DataFrame) -> DataFrame:
+    """Sources whose blocks are compared."""
+    return in_folders(corpus).where(extension(F.col("file")).isin("ts", "tsx", "js", "jsx", "py", "cs", "go", "rs", "c", "cpp", "h"))
+
+
 def lines(corpus: DataFrame) -> DataFrame:
     """(file, line_no from 1, line, and other columns) of lines that aren't empty; a null text has none."""
     rest = [c for c in corpus.columns if c not in ("file", "text")]

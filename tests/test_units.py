@@ -132,3 +132,15 @@ def test_long_cycles_cover_every_edge_of_a_cycle():
         steps = {e for p in found for e in zip(p, p[1:] + p[:1])}
         assert all(len(set(p)) == len(p) > 1 and p[0] == min(p) for p in found) and len(set(map(tuple, found))) == len(found)
         assert steps == {(a, b) for a, b in pairs if a != b and (b, a) in reach}
+
+
+def test_secret_and_session_streams_equal_batch(spark, tmp_path):
+    corpus = spark.createDataFrame([(f"f{k}.py", f"x = 1\npassword = 'hunter{k}hunter{k}'\n") for k in range(8)], "file string, text string")
+    corpus.repartition(2).write.parquet(str(tmp_path / "files"))
+    events = spark.createDataFrame([(k * 10 + (k // 5) * 3600, k % 2) for k in range(40)], "t long, user_id long").select(F.timestamp_seconds("t").alias("ts"), "user_id")
+    events.write.parquet(str(tmp_path / "events"))
+    for name, fold, schema, mode in (("files", streams.secret_stream, corpus.schema, "append"), ("events", streams.event_sessions, events.schema, "complete")):
+        batch = sorted(map(tuple, fold(spark.read.parquet(str(tmp_path / name))).collect()))
+        q = fold(spark.readStream.schema(schema).parquet(str(tmp_path / name))).writeStream.outputMode(mode).format("memory").queryName(f"of_{name}").option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted(map(tuple, spark.table(f"of_{name}").collect())) == batch and batch
