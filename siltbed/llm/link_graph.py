@@ -4,17 +4,18 @@ Links of pages (absolute or protocol-relative ``href`` targets; relative ones st
 table if there is one, make host edges, weighted by the number of pages that link. Trust is personalised PageRank from
 trusted seeds along the edges; distrust is personalised PageRank from blocked seeds along the reversed edges, since who
 links to bad hosts is bad. What a host without edges onward holds goes back to the seeds; that only scales the scores, so
-rounds leave it out (y = start + damping * moved y) and the sum is made 1 at the end. Both rankings run at once over one
-table of scores. Rounds go on until what is still to come is under ``tolerance`` (of a sum of 1; unless given, a millionth
-of 1 / hosts or 1e-12, whichever is less, so that rounding and verdicts are those of the solution): each round adds at
-most ``damping`` times what the last added, which bounds the rest. A host is refused if it is a blocked seed, or its
-distrust reaches ``threshold`` times the uniform share 1 / hosts and exceeds its trust; a trusted seed is never refused
-by score.
-
-A round reads the scores before it once, so ``every`` rounds are one linear plan, after which scores are written to the
-shared folder: a lost executor costs few rounds. A seed names a host or a domain: it covers the host itself and all below
-it. Seeds are tables, joined by each suffix of a host, so a blocklist can be large. Only edges, hosts and scores are
-shuffled; a page's html is read once, for its links.
+rounds leave it out (y = start + damping * moved y) and the sum is made 1 at the end. A host is refused if it is a blocked
+seed, or its distrust reaches ``threshold`` times the uniform share 1 / hosts and exceeds its trust; a trusted seed is
+never refused by score.
+
+Both rankings run at once, in rounds over blocks of hosts (one for each ``BLOCK_EDGES`` edges, by a hash): a round adds up
+what flows in from other blocks, and each block then iterates over the edges within it, in one task, until it rests. From
+below, such rounds come at least as near as plain power iterations, and scores end within damping / (1 - damping) times
+what the last round added; rounds go on until that is under ``tolerance`` (of a sum of 1; unless given, a millionth of
+1 / hosts or 1e-12, whichever is less, so that rounding and verdicts are those of the solution). Scores are written to the
+shared folder after each, so a lost executor costs a round. A seed names a host or a domain: it covers the host itself
+and all below it. Seeds are tables, joined by each suffix of a host, so a blocklist can be large. Only edges, hosts and
+scores are shuffled; a page's html is read once, for its links.
 
 Defined results: a null, empty or malformed URL has no host, takes no part in the graph and its page is kept with a null
 host; null html has no links; repeated pages count once as a linking page (by URL) and are each judged; ties need no
@@ -26,11 +27,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.scratch import Scratch
 
+BLOCK_EDGES = 500_000
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _HREF = r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
@@ -60,26 +64,48 @@ def host_edges(pages: DataFrame, links: DataFrame | None = None) -> DataFrame:
     return rows.where("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.count_distinct("url").cast("double").alias("weight"))
 
 
-def propagate(scratch: Scratch, start: DataFrame, moves: DataFrame, damping: float, every: int, tolerance: float) -> DataFrame:
+def settle(base: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The solution y of y = base + moved y, where edge k moves share[k] of y[a[k]] to b[k]; shares from a node sum to under 1."""
+    y = base
+    while len(a):
+        new = base + np.bincount(b, share * y[a], len(base))
+        if not (new - y > 1e-16 * new).any():
+            break
+        y = new
+    return y
+
+
+def propagate(scratch: Scratch, start: DataFrame, moves: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(kind, host, score): for each kind the solution of score = start + damping * moved score, scaled to a sum of 1.
 
     ``start``: (kind, host, start); ``moves``: (kind, a, b, share).
     """
-    sums = lambda df: {r.kind: r.total for r in df.groupBy("kind").agg(F.sum("score").alias("total")).collect()}  # noqa: E731 (two rows)
-    first = start.select("kind", "host", F.col("start").alias("score"))
-    score, n = scratch.write(first, "score0"), 0
-    total = sums(score)
+    blocks = -(-moves.count() // BLOCK_EDGES) or 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    moves = moves.select("kind", "a", "b", (damping * F.col("share")).alias("share"), block("a").alias("block"), block("b").alias("to"))
+    inner, across = moves.where("block = to").select(F.col("block").alias("of"), "kind", "a", "b", "share"), moves.where("block <> to").select("kind", F.col("a").alias("host"), "b", "share")
+    first = start.select(block("host").alias("block"), "kind", "host", F.col("start").alias("score"))
+    crossing, schema = not across.isEmpty(), pa.schema([("kind", pa.string()), ("host", pa.string()), ("score", pa.float64())])
+
+    def local(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, at = np.unique(np.array([f"{k} {h}" for t, c in ((left, "host"), (right, "a"), (right, "b")) for k, h in zip(t["kind"].to_pylist(), t[c].to_pylist())], object).astype(str), return_inverse=True)
+        n, m = len(left), len(right)
+        y = settle(np.bincount(at[:n], left["score"].to_numpy(), len(names)), at[n : n + m], at[n + m :], right["share"].to_numpy())
+        on = np.flatnonzero(y > 0)
+        kinds, hosts = zip(*(x.split(" ", 1) for x in names[on].tolist())) if len(on) else ((), ())
+        return pa.table([pa.array(kinds, pa.string()), pa.array(hosts, pa.string()), y[on]], schema=schema)
+
+    score, total, n = None, {}, 0
     while True:
-        before, ahead = total, score
-        for _ in range(every):
-            moved = ahead.join(moves.select("kind", F.col("a").alias("host"), "b", "share"), ["kind", "host"])
-            ahead = first.unionByName(moved.select("kind", F.col("b").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        n += every
-        score = scratch.write(ahead, f"score{n}")
-        scratch.drop(f"score{n - every}")
-        total = sums(score)
-        # the last of these rounds added at most their mean, and each to come adds at most damping times the one before
-        if all((total[k] - before[k]) / every * damping / (1 - damping) <= tolerance * total[k] for k in total):
+        base = first
+        if n:
+            flow = across.join(score, ["kind", "host"]).select(block("b").alias("block"), "kind", F.col("b").alias("host"), (F.col("share") * F.col("score")).alias("score"))
+            base = first.unionByName(flow).groupBy("block", "kind", "host").agg(F.sum("score").alias("score"))
+        out = base.groupBy("block").cogroup(inner.groupBy("of")).applyInArrow(local, "kind string, host string, score double")
+        score, before, n = scratch.write(out, f"score{n}"), total, n + 1
+        scratch.drop(f"score{n - 2}")
+        total = {r.kind: r.total for r in score.groupBy("kind").agg(F.sum("score").alias("total")).collect()}  # two rows
+        if not crossing or all((total[k] - before.get(k, 0.0)) * damping / (1 - damping) <= tolerance * total[k] for k in total):
             break
     scale = F.lit(0.0)
     for k, t in total.items():
@@ -87,7 +113,7 @@ def propagate(scratch: Scratch, start: DataFrame, moves: DataFrame, damping: flo
     return score.select("kind", "host", (F.col("score") * scale).alias("score"))
 
 
-def judged_pages(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, links: DataFrame | None = None, damping: float = 0.85, every: int = 6, threshold: float = 1.0, tolerance: float | None = None) -> DataFrame:
+def judged_pages(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, links: DataFrame | None = None, damping: float = 0.85, threshold: float = 1.0, tolerance: float | None = None) -> DataFrame:
     """Every page with its host's scores: page_id, url, host, trust, distrust, keep.
 
     ``trusted``, ``blocked``: (seed). ``links``: (url, target) of pages, such as a crawl's link table, besides those in html.
@@ -110,7 +136,7 @@ def judged_pages(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, links
         both = sides[0].union(sides[1])
         out = both.groupBy("kind", "a").agg(F.sum("weight").alias("out"))
         moves = scratch.write(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("out")).alias("share")), "moves")
-        score = propagate(scratch, start[0] if len(start) == 1 else start[0].union(start[1]), moves, damping, every, tolerance)
+        score = propagate(scratch, start[0] if len(start) == 1 else start[0].union(start[1]), moves, damping, tolerance)
         one = score.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(x) for k, x in (("good", "t"), ("bad", "d"))])
         verdict = hosts.join(one, "host", "left").select("host", "good", "bad", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d"))
     refuse = F.col("bad") | (~F.col("good") & (F.col("d") * F.lit(float(counts.n)) >= threshold) & (F.col("d") > F.col("t")))
