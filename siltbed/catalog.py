@@ -108,6 +108,12 @@ def sec_env_file(spark, sf_dir):
     return secrets.env_file(sec_fix_plan(spark, sf_dir))
 
 
+@query(_WITH + f", {_PLAN} select distinct env_var, placeholder from plan where env_var <> 'SECRET_IN_CODE'")
+def sec_env_new(spark, sf_dir):
+    existing = spark.createDataFrame([("SECRET_IN_CODE",), ("OTHER",)], "env_var string")
+    return secrets.env_file(sec_fix_plan(spark, sf_dir), existing)
+
+
 @query(_WITH + f", {_PLAN} select file, count(*) as n, string_agg(concat('Line ', line, ': ', case when length(original) > 20 then concat(substr(original, 1, 10), '...', right(original, 10)) else original end, ' -> ', replacement), chr(10) order by line) as steps from plan group by file")
 def sec_instructions(spark, sf_dir):
     return secrets.instructions(sec_fix_plan(spark, sf_dir))
@@ -506,9 +512,9 @@ def ft_all(spark, sf_dir):
     return state.features(derived(spark, sf_dir, "feature_events"))
 
 
-@query(f"select * from {_FT}")
+@query(f"select f.*, case when status = 'completed' then concat(strftime(done, '%Y-%m-%d'), '_', f.name) end as archive from {_FT} f left join (select name, max(ts) as done from {oracle('feature_events')} where action = 'complete' group by name) d on d.name = f.name")
 def ft_list(spark, sf_dir):
-    return ft_all(spark, sf_dir).select("name", "started_at", "status", joined("decisions", "|"))
+    return ft_all(spark, sf_dir).select("name", "started_at", "status", joined("decisions", "|"), "archive")
 
 
 @query(f"select name, status from {_FT} where status = 'active' order by name limit 1")
