@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,42 @@ def test_stages_keep_the_schema_and_shrink(spark):
         n = docs.count()
 
 
+def test_stages_against_brute_force(spark):
+    """Of the raw documents: which near copies stay, that no 50 words stay twice, and which documents hold an item."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: word_list(r.text) for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set() for i, w in texts.items()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {i for i in sets if find(i) == i} and len(kept) < len(sets)
+
+    cut = {r.doc_id: word_list(r.text) for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    grams = Counter(tuple(w[k : k + 50]) for w in cut.values() for k in range(len(w) - 49))
+    before = Counter(tuple(w[k : k + 50]) for w in texts.values() for k in range(len(w) - 49))
+    assert max(grams.values()) == 1 and max(before.values()) > 1
+    repeated = {g for g, n in before.items() if n > 1}
+    for i, w in texts.items():
+        if not any(tuple(w[k : k + 50]) in repeated for k in range(len(w) - 49)):
+            assert cut[i] == w  # clean documents are left alone
+
+    items = [word_list(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    looked = {tuple(w[k : k + 13]) for w in items if len(w) >= 5 for k in range(max(1, len(w) - 12))}
+    sizes = {len(g) for g in looked}
+    clean = {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, SF).collect()}
+    assert clean == {i for i, w in texts.items() if not any(tuple(w[k : k + n]) in looked for n in sizes for k in range(len(w) - n + 1))}
+
+
 def test_pipeline_rows(spark, out):
     rows = out.collect()
     known = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
