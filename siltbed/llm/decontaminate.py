@@ -12,6 +12,8 @@ a null id, of a document or an item, is reported as null, and items without an i
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,17 @@ def build(found: dict[str, list[int]]):
     return automaton
 
 
+_BUILT: dict[str, object] = {}
+
+
+def automaton_for(token: str, shared):
+    """The automaton of a broadcast table of patterns, built once in each Python worker; None without patterns."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = build(shared.value) if shared.value else None
+    return _BUILT[token]
+
+
 def normalise(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
     """One normalised string for all texts; the place of each character among the code points; where each text begins.
 
@@ -93,10 +106,10 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = 13,
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     found = patterns(sorted(((r[0], r[1]) for r in items.distinct().collect()), key=_order), gram, min_words)
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    shared, token = docs.sparkSession.sparkContext.broadcast(found), uuid.uuid4().hex
 
     def find(batches):
-        automaton = build(shared.value) if shared.value else None
+        automaton = automaton_for(token, shared)
         for batch in batches:
             texts, rows = texts_of(batch, "text"), []
             for a, b in chunks(texts) if automaton else ():
@@ -114,11 +127,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int, gram:
     ``min_words`` is the caller's to choose: an item of fewer words, such as an answer of one, tells no leak by itself.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(patterns(sorted(((r[0], r[1]) for r in items.distinct().collect()), key=_order), gram, min_words))
+    found = patterns(sorted(((r[0], r[1]) for r in items.distinct().collect()), key=_order), gram, min_words)
+    shared, token = docs.sparkSession.sparkContext.broadcast(found), uuid.uuid4().hex
     at = place_of(docs, "text")
 
     def keep(batches):
-        automaton = build(shared.value) if shared.value else None
+        automaton = automaton_for(token, shared)
         for batch in batches:
             texts = texts_at(batch, at)
             clean = np.ones(len(texts), bool)
