@@ -37,6 +37,24 @@ def lean(f: Callable) -> Callable:
     return run
 
 
+def lean_group(f: Callable) -> Callable:
+    """``f`` over tables of groups, that releases memory after each."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            release()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def place_of(df: DataFrame, name: str, needed: bool = True) -> int | None:
     """Where a column is, whatever the case of its name."""
     found = [k for k, c in enumerate(df.columns) if c.lower() == name]

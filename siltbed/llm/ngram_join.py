@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, lean, pack, texts_of, unpack
+from siltbed.llm.arrow import batch_of, lean, lean_group, pack, texts_of, unpack
 from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_sets, words
 
-CHUNK_GRAMS = 2_000_000
+CHUNK_GRAMS = 1_000_000
 CELL_POSTINGS = 100_000
 EXPAND = 1_000_000
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
@@ -161,11 +161,12 @@ def shared_sets(docs: DataFrame, scratch: Scratch, n: int, threshold: float, par
         columns = list(zip(*out)) or [[] for _ in _SET]
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _SET)], schema=_SET)
 
+    parts *= 2  # a part is sorted in memory, in Python
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     own = docs.select(doc_id.alias("doc_id"), text.alias("text"), *row_key(docs))
     back = scratch.write(own.mapInArrow(lean(blocks), _ddl(_BLOCK)).repartitionById(parts, "bucket").mapInArrow(lean(frequencies), _ddl(_BACK)), "shared")
     collect_garbage(docs.sparkSession)
-    return back.groupBy("chunk").applyInArrow(prefixes, _ddl(_SET))
+    return back.groupBy("chunk").applyInArrow(lean_group(prefixes), _ddl(_SET))
 
 
 def _explode_prefix(batches):
@@ -293,7 +294,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, n: int = 3, threshold: float
     placed = scratch.write(placed.unionByName(inner), "placed")
     wanted = placed.select(F.col("spot").alias("at"), F.col("grp").alias("of")).distinct().join(groups.select(F.col("grp").alias("of"), F.explode("classes").alias("uid")), "of")
     blobs = wanted.join(classes.select("uid", "size", "grams"), "uid").select("at", F.col("of").alias("grp"), "uid", "size", "grams")
-    found = placed.groupBy("spot").cogroup(blobs.groupBy("at")).applyInArrow(_verifier(threshold), "a long, b long, jaccard double")
+    found = placed.groupBy("spot").cogroup(blobs.groupBy("at")).applyInArrow(lean_group(_verifier(threshold)), "a long, b long, jaccard double")
     found = scratch.write(found.dropDuplicates(["a", "b"]), "found")
     scratch.drop("groups", "homes", "placed")
     collect_garbage(spark)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, lean, pack, place_of, take_ids, texts_at, texts_of, unpack
+from siltbed.llm.arrow import batch_of, lean, lean_group, pack, place_of, take_ids, texts_at, texts_of, unpack
 from siltbed.llm.scratch import Scratch, collect_garbage
 from siltbed.llm.text import chunks, gram_hashes, winnow, words
 
@@ -236,7 +236,7 @@ def _with_names(blocks: DataFrame, named: DataFrame, offsets: dict[int, int], bu
         return build(row, np.concatenate([none, *at]).astype(np.int64), np.concatenate([none, *name]))
 
     names = named.where("block >= 0").withColumnRenamed("block", "of")
-    return blocks.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(join, ddl)
+    return blocks.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(lean_group(join), ddl)
 
 
 def _layout(row: dict) -> Layout:
@@ -489,7 +489,7 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = 50, filtered: bo
         cols = list(zip(*out)) or [[], [], []]
         return pa.Table.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], names=["key", "firsts", "copies"])
 
-    spans = table.select("block", "ends", "keys").groupBy("block").cogroup(runs.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(judged, "key binary, firsts array<int>, copies array<int>")
+    spans = table.select("block", "ends", "keys").groupBy("block").cogroup(runs.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(lean_group(judged), "key binary, firsts array<int>, copies array<int>")
     spans = scratch.write(spans, "spans")
     scratch.drop("blocks")
     equal = occurs.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("_sa_uid", "start")).alias("head"))

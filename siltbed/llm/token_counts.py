@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.arrow import batch_of, lean, pack, texts_of, unpack
+from siltbed.llm.arrow import batch_of, lean, lean_group, pack, texts_of, unpack
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -156,5 +156,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.when(F.col("token").isNull(), F.col("chunk")).otherwise(F.xxhash64("token", "salt")))
         .mapInArrow(lean(count), "chunk long, docs binary, counts binary")
         .groupBy("chunk")
-        .applyInArrow(add_up, "doc_id long, n_tokens long, n_pre_tokens long")
+        .applyInArrow(lean_group(add_up), "doc_id long, n_tokens long, n_pre_tokens long")
     )
