@@ -497,6 +497,52 @@ def test_near_copies_of_large_clusters(spark, monkeypatch, cell):
     assert {(r.doc_id, r.other_id): pytest.approx(r.jaccard) for r in ngram_join.near_copies(d).collect()} == brute_near(texts)
 
 
+def brute_links(pairs):
+    """(class, number of links) of each id that a pair has."""
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for i in sorted(near):
+        if i not in out:
+            reached, todo = {i}, [i]
+            while todo:
+                new = near[todo.pop()] - reached
+                reached |= new
+                todo += new
+            out |= {x: (i, len(near[x])) for x in reached}
+    return out
+
+
+@pytest.mark.parametrize("cell", [3, 100_000])
+def test_links_are_counted_without_a_row_for_each_pair(spark, monkeypatch, cell):
+    """Rows are as many as documents, however large the cluster; every link between different texts counts once."""
+    monkeypatch.setattr(ngram_join, "CELL_POSTINGS", cell)
+    monkeypatch.setattr(ngram_join, "EXPAND", 50 if cell == 3 else 1_000_000)
+    base, texts = prose(5, 60).split(), near_texts()
+    for k in range(200, 290):
+        r, t = random.Random(k // 2), list(base)
+        for _ in range(k % 9):
+            t[r.randrange(len(t))] = r.choice(WORDS)
+        texts[k] = " ".join(t)
+    d = spark.createDataFrame(rows([*texts.items(), (5, texts[5]), (None, texts[5])]), SCHEMA)
+    want = brute_near(texts)
+    got = ngram_join.linked_documents(d).collect()
+    assert len(got) == len({r.doc_id for r in got}) < len(want)
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == brute_links(want)
+
+
+def test_links_of_ids_with_several_texts(spark, empty):
+    texts = [prose(k, 40) for k in range(6)]
+    some = [(1, 0), (1, 1), (2, 1), (2, 0), (3, 1), (4, 2), (4, 3), (5, 3), (6, 2), (6, 3), (7, 4), (7, 4), (8, 5), (None, 4)]
+    d = spark.createDataFrame(rows([(i, texts[k]) for i, k in some] + [(1, texts[0] + " more"), (9, texts[5] + " more"), (9, texts[5] + " less"), (10, texts[5])]), SCHEMA)
+    pairs = {(r.doc_id, r.other_id) for r in ngram_join.near_copies(d).collect()}
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.linked_documents(d).collect()} == brute_links(pairs)
+    assert {(1, 2), (4, 6), (8, 9), (9, 10)} < pairs
+    assert ngram_join.linked_documents(empty).count() == 0
+
+
 def test_near_copies_among_rows_that_share_an_id(spark):
     a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
     d = spark.createDataFrame(rows([(1, a), (1, b), (2, b), (3, c), (3, c), (None, a), (None, prose(4, 40)), (None, None)]), SCHEMA)
