@@ -610,6 +610,29 @@ def test_repeated_passages_against_brute_force(spark, docs, empty, filtered):
     assert {r.doc_id for r in again.where("text is null").collect()} >= {0}
 
 
+def test_sorts_have_parts_by_what_is_sorted(spark, monkeypatch):
+    """The rows that a sort sends don't follow the session's partitions, and are the rows of a few batches."""
+    made = Counter()
+    assert suffix_array.sort_parts(40, 51, 6) == 20 and suffix_array.sort_parts(480, 600, 6) == 240
+    assert suffix_array.sort_parts(1, 4, 6) == 8 and suffix_array.sort_parts(10_000, 600, 6) == 1200
+    at, block = np.arange(60), np.repeat(np.arange(6), 10)
+    for batch in suffix_array._named(3, block, at, at, 60):
+        made["batches"] += 1
+        made["rows"] += batch.num_rows
+    assert made == {"batches": 1, "rows": 7}
+    parts, texts = [], repeating_texts()
+    init = suffix_array.Sorter.__init__
+    monkeypatch.setattr(suffix_array.Sorter, "__init__", lambda self, scratch, n: (init(self, scratch, n), parts.append(self.parts))[0])
+    monkeypatch.setattr(spark.sparkContext.__class__, "defaultParallelism", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        found = suffix_array.repeated_passages(spark.createDataFrame(rows(list(texts.items())), SCHEMA)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id for r in found} == brute_repeats(texts).keys() and max(parts) <= 20
+
+
 def test_merge_orders_all_suffixes():
     r = np.random.default_rng(0)
     for _ in range(200):
