@@ -225,6 +225,18 @@ def test_toxicity_finds_held_out_documents(spark):
     assert len(got & toxic) >= 0.8 * len(toxic) and len(got & clean) <= 0.04 * len(clean)
 
 
+def test_classifier_is_trained_on_all_labels(spark, monkeypatch):
+    """Over 1,000 of each label: all are in the shards, and what few shards know is learned by all."""
+    kinds = [lambda k: prose(k, 30), lambda k: (WORDS[k % 80].upper() + "!! ") * 20, lambda k: "%# " * 30 + prose(k, 8)]
+    d = spark.createDataFrame(rows([kinds[0](k) if k % 2 else kinds[1 + (k % 12 == 0)](k) for k in range(2400)]), SCHEMA)
+    lab = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(classifier, "SHARD", 300)
+    shards = classifier.labelled(d, lab, Scratch(spark, "t")).collect()
+    assert sum(r.good for r in shards) == sum(r.bad for r in shards) == 1200 and {r.shard for r in shards} == set(range(8))
+    kept = {r.doc_id for r in classifier.scored(d, lab).collect()}
+    assert sum((k in kept) == bool(k % 2) for k in range(2400)) >= 0.98 * 2400
+
+
 def test_classifier_gradient_by_finite_differences():
     r = np.random.default_rng(0)
     bag, y = np.repeat(np.arange(6), [1, 2, 3, 1, 4, 2]), np.array([0, 1, 0, 1, 1, 0], float)
