@@ -645,6 +645,23 @@ def test_sorts_have_parts_by_what_is_sorted(spark, monkeypatch):
     assert {r.doc_id for r in found} == brute_repeats(texts).keys() and max(parts) <= 20
 
 
+def test_a_common_pair_of_words_is_cut_into_parts(spark):
+    """What begins with a common pair of words, as a share of any text does, isn't one part's; a batch has few blocks."""
+    r = np.random.default_rng(1)
+    toks = np.stack([np.full(4000, 1), np.full(4000, 2), r.integers(10, 10_000, 4000)], 1).astype(np.uint64).ravel()
+    row = {"block": 0, "toks": suffix_array.pack(np.append(toks, np.uint64(1 << 63))), "ends": suffix_array.pack(np.array([len(toks) + 1]), True)}
+    blocks = spark.createDataFrame([tuple(row.values())], "block long, toks binary, ends binary")
+    cuts = suffix_array.Sorter(Scratch(spark, "cuts"), 20).splitters(blocks, suffix_array._lead, suffix_array.LEAD_WORDS)
+    _, keys = suffix_array._lead(row)
+    sizes = np.diff([0, *suffix_array._split(keys, cuts), len(keys[0])])
+    assert sizes.sum() == len(toks) + 1 and sizes.max() < 0.1 * len(toks)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with suffix_array.few_rows(spark):
+        assert int(spark.conf.get(name)) == suffix_array.BATCH_BLOCKS
+    assert spark.conf.get(name) == before
+
+
 def test_merge_orders_all_suffixes():
     r = np.random.default_rng(0)
     for _ in range(200):
