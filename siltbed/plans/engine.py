@@ -53,8 +53,8 @@ class Engine:
         return duplicates.windows(sources.comparable(self.corpus), min_lines=min_lines)
 
     def duplicates(self, min_lines: int = 5, top: int | None = 50) -> DataFrame:
-        grouped = duplicates.groups(self.windows(min_lines))
-        return grouped if top is None else duplicates.ranked(grouped, top)
+        found, corpus = self.windows(min_lines), sources.comparable(self.corpus)
+        return duplicates.groups(found, corpus) if top is None else duplicates.largest(found, corpus, top)
 
     def routes(self, framework: tuple[str, ...] | None = None) -> DataFrame:
         """Routes of these frameworks, or of those that the corpus's manifests name."""

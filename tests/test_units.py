@@ -144,3 +144,33 @@ def test_secret_and_session_streams_equal_batch(spark, tmp_path):
         q = fold(spark.readStream.schema(schema).parquet(str(tmp_path / name))).writeStream.outputMode(mode).format("memory").queryName(f"of_{name}").option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert sorted(map(tuple, spark.table(f"of_{name}").collect())) == batch and batch
+
+
+def test_windows_are_shuffled_without_their_texts(spark):
+    """What is shuffled of a window is its mark and place; previews come from the text, and the largest groups are the first of all."""
+    import hashlib
+    import re
+    from collections import defaultdict
+
+    from siltbed.operators import duplicates
+
+    block = [f"value_{k} = compute(alpha, beta)  é " for k in range(7)]
+    texts = {"a.py": ["# top", *block, "", "tail"], "b.py": ["x", *block, "", ""], "c.py": ["from x import y", *block[:6], "import z"] * 2, "d.py": None, "e.py": [""] * 60}
+    corpus = spark.createDataFrame([(f, None if t is None else "\n".join(t)) for f, t in texts.items()], "file string, text string")
+    found = duplicates.windows(corpus)
+    assert found.columns == ["mark", "file", "start", "lines"]
+    want = defaultdict(list)
+    for f, t in texts.items():
+        clean = ["" if x.startswith(("#", "*", "//")) else re.sub("[ \t\r\f\x0b]+", " ", x).strip(" ") for x in t or []]
+        for s in range(len(clean)):
+            for e in range(s + 5, min(len(clean), s + 50) + 1):
+                c = " ".join(x for x in clean[s:e] if x)
+                if len(c) >= 50 and len(re.sub("[^a-zA-Z]", "", c)) >= 0.3 * len(c) and not re.match("(?i)(from|import|include|require|using) ", c):
+                    want[hashlib.md5(c.encode()).hexdigest()[:12]].append((f, s + 1, e, c[:100] + "..." * (len(c) > 100)))
+    want = {h: w for h, w in want.items() if len(w) > 1}
+    counts = {r.hash: (r.occurrences, r.files, r.lines) for r in duplicates.counts(found).collect()}
+    assert counts == {h: (len(w), len({x[0] for x in w}), max(e - s + 1 for _, s, e, _ in w)) for h, w in want.items()}
+    groups = duplicates.groups(found, corpus)
+    got = groups.collect()
+    assert got and all(r.preview == want[r.hash][0][3] for r in got)
+    assert duplicates.largest(found, corpus, 3).collect() == duplicates.ranked(groups, 3).collect()
